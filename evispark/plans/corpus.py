@@ -140,8 +140,8 @@ ct AS (SELECT *, CASE WHEN len(s) >= 3 THEN v[CAST(floor(pos) AS INTEGER) + 1] +
 br AS (SELECT doc_id, s, c, CASE WHEN cut IS NULL THEN [] ELSE list_filter(range(1, len(s)), lambda i: d[i] > cut) END AS b FROM ct)"""
 _CORPUS = r"""
 c0 AS (SELECT doc_id AS seq, concat_ws('_', coalesce(ticker, source, 'none'), coalesce(form, 'none'), coalesce(date, 'none')) || '_' || coalesce(lang, 'und') AS k, text, date FROM documents),
-c1 AS (SELECT *, CASE WHEN text IS NULL OR length(text) < 200 THEN 'too_short' WHEN NOT coalesce(regexp_matches(date, '^\d{4}-\d{2}-\d{2}$'), false) THEN 'bad_date' END AS gate, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS f FROM c0),
-c2 AS (SELECT seq, hash(k) AS k, hash(f) AS f, row_number() OVER (ORDER BY seq) AS i FROM c1 WHERE gate IS NULL),
+c1 AS MATERIALIZED (SELECT *, CASE WHEN text IS NULL OR length(text) < 200 THEN 'too_short' WHEN NOT coalesce(regexp_matches(date, '^\d{4}-\d{2}-\d{2}$'), false) THEN 'bad_date' END AS gate, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS f FROM c0),
+c2 AS MATERIALIZED (SELECT seq, hash(k) AS k, hash(f) AS f, row_number() OVER (ORDER BY seq) AS i FROM c1 WHERE gate IS NULL),
 rs AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST([] AS UBIGINT[]) AS ks, CAST([] AS UBIGINT[]) AS fs, CAST(NULL AS VARCHAR) AS reason
   UNION ALL SELECT c2.i, c2.seq, CASE WHEN list_contains(ks, k) OR list_contains(fs, f) THEN ks ELSE list_append(ks, k) END, CASE WHEN list_contains(ks, k) OR list_contains(fs, f) THEN fs ELSE list_append(fs, f) END,
     CASE WHEN list_contains(ks, k) THEN 'duplicate_key' WHEN list_contains(fs, f) THEN 'duplicate_text' END FROM rs JOIN c2 ON c2.i = rs.i + 1),

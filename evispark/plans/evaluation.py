@@ -339,11 +339,11 @@ UNION ALL SELECT 'duplicate question', id FROM k WHERE k.k IN (SELECT k FROM k G
 UNION ALL SELECT 'span not found', id FROM sp WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = sp.doc_id) AND (id, span_no) NOT IN (SELECT (id, span_no) FROM hh))""",
         "question_overlap": f"WITH {_SPANS}, {_DRAFTS}, x AS (SELECT sp.id, span_no, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS q, regexp_extract_all(lower(snippet), '[a-z0-9]+') AS s FROM sp JOIN dr USING (id)), y AS (SELECT id, span_no, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, s)) / len(q) END AS o FROM x) SELECT id, span_no, round(max(o), 6) AS overlap, max(o) >= 0.8 AS trivial FROM y GROUP BY ALL",
         "verbatim_check": f"WITH {_SPANS}, c AS (SELECT DISTINCT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS p FROM chunks WHERE text IS NOT NULL), s AS (SELECT id, span_no, doc_id, regexp_extract_all(lower(snippet), '[a-z0-9]+') AS w FROM sp) SELECT id, span_no, bool_or(len(w) >= 10 AND contains(p, ' ' || array_to_string(w, ' ') || ' ')) AS verbatim FROM s JOIN c USING (doc_id) GROUP BY ALL",
-        "bootstrap_paired": f"""WITH {_RANKS}, pr AS (SELECT id, max(recall) FILTER (WHERE retriever = 'bm25') AS a, max(recall) FILTER (WHERE retriever = 'dense') AS b FROM re WHERE retriever IN ('bm25', 'dense') GROUP BY id HAVING count(*) = 2),
-o AS (SELECT row_number() OVER (ORDER BY id) - 1 AS at, b - a AS delta, count(*) OVER () AS n FROM pr),
-dr AS (SELECT r AS round, CAST(('0x' || left(md5(r || '|' || i), 8)) AS BIGINT) % n AS at FROM range(200) t(r), (SELECT DISTINCT n FROM o) z, LATERAL (SELECT unnest(range(n)) AS i)),
-me AS (SELECT round, avg(delta) AS delta FROM dr JOIN o USING (at) GROUP BY round), v AS (SELECT list_sort(list(delta)) AS v FROM me)
-SELECT round((SELECT avg(delta) FROM o), 6) AS delta, round(v[6], 6) AS low, round(v[196], 6) AS high, (SELECT count(*) FROM o) AS n, round(v[6], 6) > 0 OR round(v[196], 6) < 0 AS resolved FROM v""",
+        "bootstrap_paired": f"""WITH {_RANKS}, pq AS (SELECT id, max(recall) FILTER (WHERE retriever = 'bm25') AS a, max(recall) FILTER (WHERE retriever = 'dense') AS b FROM re WHERE retriever IN ('bm25', 'dense') GROUP BY id HAVING count(*) = 2),
+ob AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, b - a AS delta, count(*) OVER () AS n FROM pq),
+dr AS (SELECT r AS round, CAST(('0x' || left(md5(r || '|' || i), 8)) AS BIGINT) % n AS place FROM range(200) t(r), (SELECT DISTINCT n FROM ob) z, LATERAL (SELECT unnest(range(n)) AS i)),
+me AS (SELECT round, avg(delta) AS delta FROM dr JOIN ob USING (place) GROUP BY round), v AS (SELECT list_sort(list(delta)) AS v FROM me)
+SELECT round((SELECT avg(delta) FROM ob), 6) AS delta, round(v[6], 6) AS low, round(v[196], 6) AS high, (SELECT count(*) FROM ob) AS n, round(v[6], 6) > 0 OR round(v[196], 6) < 0 AS resolved FROM v""",
         "disparity_screen": f"WITH {_SCREEN} SELECT company, product, n, round(rate, 6) AS rate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(baseline_rate, 6) AS baseline_rate, baseline_n, round(difference, 6) AS difference, round(z, 6) AS z, round(p_value, 6) AS p_value FROM sc",
         "disparity_bh": f"WITH {_SCREEN} SELECT company, product, round(q_value, 6) AS q_value, q_value <= 0.05 AS flagged FROM bh",
         "disparity_report": f"WITH {_SCREEN} SELECT count(*) AS cells, count(*) FILTER (WHERE p_value < 0.05) AS raw, count(*) FILTER (WHERE q_value <= 0.05) AS flagged, round(count(*) FILTER (WHERE q_value <= 0.05) / count(*), 6) AS share, round(median(abs(difference)) FILTER (WHERE q_value <= 0.05), 6) AS median_flagged, round(median(abs(difference)) FILTER (WHERE q_value > 0.05), 6) AS median_quiet, count(*) FILTER (WHERE q_value <= 0.05) / count(*) > 0.25 AS too_many FROM bh",
