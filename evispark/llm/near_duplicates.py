@@ -174,28 +174,23 @@ def _multiply(gram: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarra
     last = np.append(first[1:], len(gram))
     rest = np.repeat(last, last - first) - np.arange(len(gram)) - 1  # partners behind each entry
     cum = np.cumsum(rest)
-    share = t / (1 + t)
+    needs = np.ceil(t / (1 + t) * np.arange(512) - 1e-9).astype(np.int16)  # least overlap by the sum of two sizes
+    left = size - at
     lo = 0
     while lo < len(gram):
         base = cum[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(cum, base + most, side="right")))
         n = rest[lo:hi]
-        if total := int(n.sum()):
-            for begin in range(0, total, most):  # one entry may have more than `most` partners
-                stop = min(total, begin + most)
-                ends = np.cumsum(n)
-                k = np.arange(begin, stop)
-                i = np.searchsorted(ends, k, side="right")
-                j = lo + i + 1 + (k - (ends[i] - n[i]))
-                i = lo + i
-                sa, sb = size[i], size[j]
-                need = np.ceil(share * (sa + sb) - 1e-9)
-                ok = (np.minimum(sa, sb) >= need) & (np.minimum(sa - at[i], sb - at[j]) >= need)
-                i, j, need = i[ok], j[ok], need[ok]
-                apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
-                ok = (size[i] + size[j] - apart) >= 2 * need
-                i, j = i[ok], j[ok]
-                yield (np.minimum(row[i], row[j]) << np.uint64(32)) | np.maximum(row[i], row[j])
+        if n.any():
+            i = np.repeat(np.arange(lo, hi), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            need = needs[size[i] + size[j]]
+            ok = np.flatnonzero((left[i] >= need) & (left[j] >= need))
+            i, j, need = i[ok], j[ok], need[ok]
+            apart = np.bitwise_count(parity[i] ^ parity[j])
+            ok = np.flatnonzero(size[i] + size[j] - apart >= 2 * need)
+            i, j = row[i[ok]], row[j[ok]]
+            yield (np.minimum(i, j) << np.uint64(32)) | np.maximum(i, j)
         lo = hi
 
 
@@ -224,7 +219,7 @@ def _candidates(rows: DataFrame, n: int, t: float, levels: np.ndarray, splits: i
         once = np.concatenate(([True], key[1:] != key[:-1]))
         order, key = order[once], key[once]
         row = key & np.uint64(0xFFFFFFFF)
-        at, size, parity = at[order].astype(np.int32), size[order].astype(np.int32), parity[order]
+        at, size, parity = at[order].astype(np.int16), size[order].astype(np.int16), parity[order]
         held: list[np.ndarray] = []
         kept = 0
         for pair in _multiply(key >> np.uint64(32), row, at, size, parity, t):
