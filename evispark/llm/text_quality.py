@@ -10,7 +10,6 @@ lists. A document's kind is the one that holds most of its characters.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ PROFILES: tuple[tuple[str, dict[str, float]], ...] = (
     ("list", {"function": 0.06, "word": 0.62, "short": 0.02, "number": 0.28, "mark": 0.02}),
     ("list", {"function": 0.02, "word": 0.70, "short": 0.02, "number": 0.02, "dash": 0.08, "mark": 0.16}),
     ("list", {"function": 0.13, "word": 0.86, "number": 0.01}),
+    ("list", {"function": 0.16, "word": 0.55, "short": 0.06, "number": 0.04, "mark": 0.19}),
     ("list", {"url": 0.97, "word": 0.03}),
     ("list", {"url": 0.45, "word": 0.40, "number": 0.05, "mark": 0.10}),
     ("list", {"function": 0.02, "word": 0.55, "code": 0.40, "number": 0.03}),
@@ -62,7 +62,7 @@ LETTERS: dict[str, str] = {
 
 #: Greatest divergence (bits) of the letters from every language's, over at least LETTERS_LEAST letters, that readable text shows.
 LETTERS_MOST, LETTERS_LEAST = 0.125, 80
-#: Fewest different words among the words of a non-prose, non-table part of at least VARIETY_WORDS words that isn't repetition.
+#: Least share of different words (of different lines where lines are short) in a part of at least VARIETY_WORDS words, neither prose nor table, that isn't repetition.
 VARIETY_LEAST, VARIETY_WORDS = 0.30, 20
 STRETCH = 40
 
@@ -115,7 +115,7 @@ def token_class(token: str, function: frozenset[str]) -> int:
 
 
 class _Classes(dict):
-    """token_class with a memory of bounded size."""
+    """token_class, and above it (shifted by 4) the length of the bare token, with a memory of bounded size."""
 
     def __init__(self, function: frozenset[str]) -> None:
         super().__init__()
@@ -124,7 +124,7 @@ class _Classes(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        k = self[token] = token_class(token, self.function)
+        k = self[token] = token_class(token, self.function) | len(token.strip(_TRIM)) << 4
         return k
 
 
@@ -164,24 +164,38 @@ def _segments(text: str) -> list[str]:
     return out
 
 
+def _letters(text: str) -> np.ndarray:
+    """Counts of the letters a to z, marks folded."""
+    low = text.lower()
+    if not low.isascii():
+        low = low.translate(_FOLD)
+    return np.bincount(np.frombuffer(low.encode("ascii", "replace"), np.uint8), minlength=256)[97:123].astype(float)
+
+
 def letter_divergence(text: str) -> float:
     """Of the text's letters from the nearest language's; 0 for few letters."""
-    counts = Counter(text.lower().translate(_FOLD))
-    v = np.array([counts.get(chr(97 + i), 0) for i in range(26)], float)
+    v = _letters(text)
     return float(_divergence((v / v.sum())[None], _LETTER).min()) if v.sum() >= LETTERS_LEAST else 0.0
 
 
 def describe(texts: list[str], classes: _Classes) -> list[dict]:
     """Statistics and kind of each text."""
     rows, owner, tokens_of, lengths, segs = [], [], [], [], []
+    bare_chars = [0] * len(texts)
+    known = classes.__getitem__
     for d, text in enumerate(texts):
         for s in _segments(text):
             tokens = (_CELL.sub(" ", s) if s.count(",") > s.count(", ") + 1 else s).split()
             c = [0] * len(CLASSES)
-            for t in tokens:
-                c[classes[t]] += 1
-            if len(tokens) > 1 and _MARK.fullmatch(tokens[0]):
-                c[classes[tokens[0]]] -= 1
+            bare = 0
+            for v in map(known, tokens):
+                k = v & 15
+                c[k] += 1
+                if k != 4 and k != 6:
+                    bare += v >> 4
+            bare_chars[d] += bare
+            if len(tokens) > 1 and len(tokens[0]) < 8 and _MARK.fullmatch(tokens[0]):
+                c[classes[tokens[0]] & 15] -= 1
                 c[9] += 1
             rows.append(c)
             owner.append(d)
@@ -213,21 +227,22 @@ def describe(texts: list[str], classes: _Classes) -> list[dict]:
         loose = np.flatnonzero((k == 1) | (k == 3))
         if len(loose):
             # words in lines that are neither prose nor table: do they vary, and are they made of a language's letters?
-            plain = [t.strip(_TRIM).lower() for i in loose for t in tokens_of[a + i] if classes[t] in (1, 8)]
-            joined = " ".join(segs[a + i] for i in loose)
+            plain = [t.strip(_TRIM).lower() for i in loose for t in tokens_of[a + i] if classes[t] & 15 in (1, 8)]
             per_line = len(plain) / len(loose)
-            if len(plain) >= VARIETY_WORDS and (len(set(plain)) / len(plain) < VARIETY_LEAST if per_line > 5 else len(set(plain)) / len(plain) < VARIETY_LEAST / 3):
+            kept = [segs[a + i] for i in loose]
+            variety = len(set(plain)) / len(plain) if per_line > 5 else len(set(kept)) / len(kept)
+            if len(plain) >= VARIETY_WORDS and variety < VARIETY_LEAST:
                 k[loose] = 3
-            elif letter_divergence(joined) > LETTERS_MOST and total[7] * 4 < total.sum():
+            elif letter_divergence(" ".join({t for i in loose for t in tokens_of[a + i]})) > LETTERS_MOST and total[7] * 4 < total.sum():
                 k[loose] = 3
         chars = np.bincount(k, weights=n, minlength=len(KINDS))
-        words = [t for i in range(a, b) for t in tokens_of[i]]
+        words = int(total.sum())
         lines = [x for x in text.split("\n") if x.strip()]
         shape = total / total.sum() if total.sum() else total
-        alpha = [w for w in words if any(c.isalnum() for c in w)]
+        solid = words - int(total[4] + total[6])
         out.append({
-            "n_words": len(words),
-            "mean_word_length": sum(len(w.strip(_TRIM)) for w in alpha) / len(alpha) if alpha else None,
+            "n_words": words,
+            "mean_word_length": bare_chars[d] / solid if solid else None,
             "symbol_ratio": len(_SYMBOL.findall(text)) / len(text) if text else None,
             "line_punctuation": sum(x.rstrip().endswith(_PUNCTUATION) for x in lines) / len(lines) if lines else None,
             "common_words": float(shape[0]) if words else None,
