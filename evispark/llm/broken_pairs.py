@@ -216,9 +216,11 @@ def train(rows: list[tuple[np.ndarray, list[int]]], rounds: int = 150, rate: flo
     return Tagger(*theta)
 
 
-def tag(x: np.ndarray, m: Tagger) -> list[int]:
-    """Most likely tags of one chain."""
+def tag(x: np.ndarray, m: Tagger, without: int | None = None) -> list[int]:
+    """Most likely tags of one chain, one of them ruled out if `without` names it."""
     score = x @ m.weight.T
+    if without is not None:
+        score[:, without] = -1e9
     best = score[0] + m.first + (m.last if len(x) == 1 else 0)
     back = []
     for j in range(1, len(x)):
@@ -246,6 +248,10 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
     by_lang: dict[str | None, list[list[str]]] = {}
     for _, own, parts in sound:
         by_lang.setdefault(own, []).append(parts)
+    spoken: dict[str, list[str]] = {}
+    for word, langs in lang.by_word.items():
+        for k in langs:
+            spoken.setdefault(k, []).append(word)
     rows = []
 
     def put(question: str, parts: list[str], tags: list[str]) -> None:
@@ -269,10 +275,15 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
         decline, courtesy = rng.choice(DECLINES), rng.choice(COURTESIES)
         put(question, [decline, *([courtesy] if courtesy else [])], ["refusal"] * (2 if courtesy else 1))
         others = [k for k in by_lang if k not in (own, None)]
-        if others:
+        if others and rng.random() < 0.7:
             parts = rng.choice(by_lang[rng.choice(sorted(others))])
             if len(" ".join(parts)) > 30:
                 put(question, parts, ["foreign"] * len(parts))
+        elif own and (strange := [k for k in sorted(spoken) if k != own]):
+            # the sample needn't hold the other languages: function words among words of the answer
+            known, content = spoken[rng.choice(strange)], [w for w in " ".join(parts).split() if w.lower() not in lang.by_word]
+            parts = [" ".join(rng.choice(known) if rng.random() < 0.4 or not content else rng.choice(content) for _ in range(rng.randrange(8, 25))).rstrip(".,") + "." for _ in range(rng.randrange(1, 4))]
+            put(question, parts, ["foreign"] * len(parts))
     return rows
 
 
@@ -295,7 +306,8 @@ def defect_of(question: str | None, answer: str | None, abstained: bool | None,
     if answer.lstrip().startswith(SENTINEL):
         return "refusal", []
     parts = clauses(answer)
-    tags = [TAGS[k] for k in tag(features(question, parts, lang), m)]
+    x = features(question, parts, lang)
+    tags = [TAGS[k] for k in tag(x, m)]
     size = {t: sum(len(c) for c, k in zip(parts, tags, strict=True) if k == t) for t in TAGS}
     total = sum(size.values())
     if question and size["echo"] > 0.5 * total:
@@ -303,6 +315,9 @@ def defect_of(question: str | None, answer: str | None, abstained: bool | None,
         run = _run(q, [w for c in parts for w in _WORD.findall(c.lower())])
         if run >= 0.6 * len(q) and run >= 0.6 * (len(a) - len(_SOURCE.findall(answer))):
             return "copied_question", tags
+        # it opens with words of the question but says more
+        tags = [TAGS[k] for k in tag(x, m, TAGS.index("echo"))]
+        size = {t: sum(len(c) for c, k in zip(parts, tags, strict=True) if k == t) for t in TAGS}
     if size["refusal"] > 0.5 * total and size["answer"] < 0.3 * total:
         return "refusal", tags
     if size["foreign"] > 0.5 * total:
