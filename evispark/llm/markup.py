@@ -139,7 +139,7 @@ class _Reader(HTMLParser):
         self.cells = 0
 
     def _break(self) -> None:
-        if self.lines[-1][0] or self.lines[-1][1]:
+        if self.lines[-1][0].strip():
             self.lines.append(["", 0, 0])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
