@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.plans import corpus, evaluation, retrieval
+from evispark.plans import answers, corpus, evaluation, retrieval
 
-_MODULES = (retrieval, corpus, evaluation)
+_MODULES = (retrieval, corpus, evaluation, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
