@@ -33,14 +33,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?。！？][\"”’»)\]]*$")
 
 # Stems and phrases that tell inability, talk about answering, and the speaker, in five languages.
-INABILITY = re.compile(r"\b(?:cannot|can ?not|can['’]t|could not|couldn['’]t|unable|not able|impossible|not possible|won['’]t|will not|not enough|insufficient|nothing|beyond|(?:do|does|did) not|don['’]t|doesn['’]t|didn['’]t|no (?:answer|information|data|source|basis)|keep(?:s)? me|prevent|declin\w+|refus\w+|regret\w*|unfortunately|sorry|apolog\w+|lack\w*|not (?:cover|contain|mention|provid|allow|determin)\w*|no (?:puedo|podemos|es posible|hay|dispongo)|lo siento|lamento|imposible|kann (?:ich )?nicht|nicht m(?:ö|oe)glich|leider|keine (?:antwort|angaben?|information\w*)|je ne (?:peux|suis)|impossible|d(?:é|e)sol(?:é|e)|pas possible|aucune (?:information|r(?:é|e)ponse)|n(?:ã|a)o (?:posso|podemos|h(?:á|a)|(?:é|e) poss(?:í|i)vel)|desculpe|infelizmente)\b", re.I)
-ANSWERING = re.compile(r"\b(?:answer\w*|respon[ds]\w*|repl(?:y|ies)|request\w*|question\w*|information|sources?|excerpts?|passages?|material|documents?|context|retriev\w+|pages|texts?|guidelines|polic(?:y|ies)|language model|assistant|help|assist|say anything|speaks? to|determined?|provide|offer\w*|opinion|advice|rephras\w+|understanding|ask about|do here|know if|data needed|respuesta|responder|contestar|pregunta|fuentes?|antwort\w*|beantwort\w*|frage\w*|quellen?|r(?:é|e)pon\w+|question|sources?|resposta|pergunta|fontes?)\b", re.I)
+INABILITY = re.compile(r"\b(?:cannot|can ?not|can['’]t|could not|couldn['’]t|unable|not able|impossible|not possible|won['’]t|will not|not enough|insufficient|nothing|beyond|(?:do|does|did) not|don['’]t|doesn['’]t|didn['’]t|no (?:answer|information|data|source|basis|comment)|none of|(?:rather|prefer) not|(?:was|were)n['’]t among|would not|keep(?:s)? me|prevent|declin\w+|refus\w+|regret\w*|unfortunately|sorry|apolog\w+|lack\w*|not (?:cover|contain|mention|provid|allow|determin)\w*|no (?:puedo|podemos|es posible|hay|dispongo)|lo siento|lamento|imposible|kann (?:ich )?nicht|nicht m(?:ö|oe)glich|leider|keine (?:antwort|angaben?|information\w*)|je ne (?:peux|suis)|impossible|d(?:é|e)sol(?:é|e)|pas possible|aucune (?:information|r(?:é|e)ponse)|n(?:ã|a)o (?:posso|podemos|h(?:á|a)|(?:é|e) poss(?:í|i)vel)|desculpe|infelizmente)\b", re.I)
+ANSWERING = re.compile(r"\b(?:answer\w*|respon[ds]\w*|repl(?:y|ies)|request\w*|question\w*|information|sources?|excerpts?|passages?|material|documents?|context|retriev\w+|pages|texts?|guidelines|polic(?:y|ies)|language model|assistant|help|assist|say anything|speaks? to|determined?|provide|offer\w*|opinion|advice|advise[rd]?|advisor|professional|comment\w*|speculat\w*|guess\w*|covers?|rephras\w+|understanding|ask about|do here|know if|data needed|respuesta|responder|contestar|pregunta|fuentes?|antwort\w*|beantwort\w*|frage\w*|quellen?|r(?:é|e)pon\w+|question|sources?|resposta|pergunta|fontes?)\b", re.I)
 SPEAKER = re.compile(r"\b(?:i|i['’](?:m|ll|d|ve)|me|my|we|our|us|you|let|please|try|thank|yo|me|ich|wir|mir|je|nous|moi|eu|n(?:ó|o)s)\b", re.I)
 DECLINES = (
     "I cannot answer this question.", "I am sorry, but I can't help with that.", "The information provided is not sufficient to answer.", "No answer can be given from these sources.",
     "I do not have enough information to respond to this request.", "As an assistant I am unable to give an opinion on this.", "The documents do not allow me to say anything about it.", "Unfortunately I am not able to provide this.",
     "It is not possible to reply to this on the basis of the passages.", "My guidelines do not let me respond.", "Nothing in the material speaks to this question.", "This cannot be determined from the context.",
-    "I won't be able to help with this request.", "Insufficient context to answer.", "There is no information in the excerpts that would answer this.", "That lies beyond what I can do.", "I must decline to answer.", "We lack the data needed for a reply.",
+    "I won't be able to help with this request.", "Insufficient context to answer.", "There is no information in the excerpts that would answer this.", "That lies beyond what I can do.", "I must decline to answer.", "I would rather not guess; please ask a professional.", "No comment can be given on it.", "I have to decline, as none of the texts covers it.", "We lack the data needed for a reply.",
     "Lo siento, no puedo responder a esta pregunta.", "Leider kann ich nicht auf diese Frage antworten.", "Désolé, je ne peux pas répondre à cette question.", "Desculpe, não posso responder a esta pergunta.",
 )
 COURTESIES = ("Please rephrase the question.", "Let me know if I can help with anything else.", "Thank you for your understanding.", "Please ask about another document.", "Try to ask it in another way.", "")
@@ -116,6 +116,13 @@ def _run(a: list[str], b: list[str]) -> int:
     return best
 
 
+def _copied(question: str, parts: list[str]) -> float:
+    """Share of the clauses' words that are runs of the question, a run for each clause or one for all."""
+    q, said = _WORD.findall(question.lower()), [_WORD.findall(c.lower()) for c in parts]
+    total = sum(map(len, said))
+    return max(_run(q, [w for c in said for w in c]), sum(_run(q, w) for w in said)) / total if total else 0.0
+
+
 FEATURES = 26
 
 
@@ -243,7 +250,7 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
         bare = " ".join(parts)
         own, said = lang.of(question), lang.of(bare)
         figures = any(k.isdigit() for k in bare)
-        if (said in (own, None) or len(bare) < 20) and (_END.search(bare) or len(_WORD.findall(bare)) <= 5) and not bare.endswith("..") and (figures or len(bare) < 40) and _run(_WORD.findall(question.lower()), _WORD.findall(bare.lower())) < 0.6 * len(_WORD.findall(bare)) and not (INABILITY.search(parts[0]) and ANSWERING.search(parts[0])):
+        if (said in (own, None) or len(bare) < 20) and (_END.search(bare) or len(_WORD.findall(bare)) <= 5) and not bare.endswith("..") and (figures or len(bare) < 40) and _copied(question, parts) < 0.6 and not (INABILITY.search(parts[0]) and ANSWERING.search(parts[0])):
             sound.append((question, own, parts))
     by_lang: dict[str | None, list[list[str]]] = {}
     for _, own, parts in sound:
@@ -258,6 +265,8 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
         rows.append((features(question, parts, lang), [TAGS.index(t) for t in tags]))
 
     for question, own, parts in sound:
+        content = [w for w in " ".join(parts).split() if w.lower() not in lang.by_word] or ["it"]
+        own_words = " ".join(rng.choice(content) for _ in range(rng.randrange(1, 4)))
         put(question, parts, ["answer"] * len(parts))
         if len(parts) > 1 and rng.random() < 0.5:  # a sound answer that also names a gap
             gap = rng.choice(("The sources do not give a figure for the later year.", "The passages do not cover the other issuer."))
@@ -270,9 +279,13 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
         q = question.split()
         echo = rng.choice(LEADS) + " ".join(q[rng.choice((0, 0, 0, 1, 2)) : len(q) - rng.choice((0, 0, 0, 1, 2))])
         echo = rng.choice((echo, echo, echo.lower(), echo.upper(), echo.rstrip("?") + "."))
+        echo = f"{echo} {question}" if rng.random() < 0.2 else echo
         if rng.random() < 0.7:
             put(question, own_parts := clauses(echo) or [echo], ["echo"] * len(own_parts))
         decline, courtesy = rng.choice(DECLINES), rng.choice(COURTESIES)
+        if rng.random() < 0.5:  # what is declined may be named, with dates and figures
+            stem = decline.rstrip(".")
+            decline = stem + rng.choice((f" for the {rng.choice(content)} of {own_words}", f" about {own_words}", f" on {rng.choice(content)} {rng.randrange(1, 29)}, {rng.randrange(2018, 2026)}", f" for the year {rng.randrange(2018, 2026)}")) + "."
         put(question, [decline, *([courtesy] if courtesy else [])], ["refusal"] * (2 if courtesy else 1))
         others = [k for k in by_lang if k not in (own, None)]
         if others and rng.random() < 0.7:
@@ -281,8 +294,8 @@ def _training_rows(pairs: list[tuple[str | None, str | None]], lang: Languages,
                 put(question, parts, ["foreign"] * len(parts))
         elif own and (strange := [k for k in sorted(spoken) if k != own]):
             # the sample needn't hold the other languages: function words among words of the answer
-            known, content = spoken[rng.choice(strange)], [w for w in " ".join(parts).split() if w.lower() not in lang.by_word]
-            parts = [" ".join(rng.choice(known) if rng.random() < 0.4 or not content else rng.choice(content) for _ in range(rng.randrange(8, 25))).rstrip(".,") + "." for _ in range(rng.randrange(1, 4))]
+            known = spoken[rng.choice(strange)]
+            parts = [" ".join(rng.choice(known) if rng.random() < 0.4 else rng.choice(content) for _ in range(rng.randrange(8, 25))).rstrip(".,") + "." for _ in range(rng.randrange(1, 4))]
             put(question, parts, ["foreign"] * len(parts))
     return rows
 
@@ -311,9 +324,8 @@ def defect_of(question: str | None, answer: str | None, abstained: bool | None,
     size = {t: sum(len(c) for c, k in zip(parts, tags, strict=True) if k == t) for t in TAGS}
     total = sum(size.values())
     if question and size["echo"] > 0.5 * total:
-        a, q = _WORD.findall(answer.lower()), _WORD.findall(question.lower())
-        run = _run(q, [w for c in parts for w in _WORD.findall(c.lower())])
-        if run >= 0.6 * len(q) and run >= 0.6 * (len(a) - len(_SOURCE.findall(answer))):
+        q = _WORD.findall(question.lower())
+        if _run(q, _WORD.findall(" ".join(parts).lower())) >= 0.6 * len(q) and _copied(question, parts) >= 0.6:
             return "copied_question", tags
         # it opens with words of the question but says more
         tags = [TAGS[k] for k in tag(x, m, TAGS.index("echo"))]
