@@ -162,7 +162,7 @@ def _pairs(spark):
         answer, defect = {
             0: (sound, None), 1: (sound, None), 2: (f"${n} million [S1]", None), 3: (" ".join(sound.split()[: rng.randrange(9, 16)]) + rng.choice([" of the", ",", " ..."]), "truncated"),
             4: (rng.choice(["I am unable to answer that question from the sources.", "Sorry, I cannot help with this request. Thank you for understanding.", "There is not enough information in the material to respond."]), "refusal"),
-            5: (rng.choice([question, "Question: " + question, question.lower(), question.upper()]), "copied_question"), 6: (spanish, "other_language"), 7: (rng.choice([None, "", " \u200b", "N/A", "[S1]", "...", "null"]), "empty"),
+            5: (rng.choice([question, "Question: " + question, question.lower(), question.upper(), question + " " + question]), "copied_question"), 6: (spanish, "other_language"), 7: (rng.choice([None, "", " \u200b", "N/A", "[S1]", "...", "null"]), "empty"),
         }[kind]
         rows.append(("t", f"k{k}", question, answer, False, defect))
     rows.append(("t", "no1", rows[0][2], "INSUFFICIENT_CONTEXT: nothing covers it.", True, None))
