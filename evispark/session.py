@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, unless their path holds it already."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    on_path = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    beside = sc.master.startswith("local") and not sc.master.startswith("local-cluster") and Path.cwd() == root
+    if on_path or beside or getattr(sc, "_evispark_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="evispark-package-")) / "evispark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "evispark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._evispark_shipped = True
