@@ -1,6 +1,6 @@
 """Near-duplicate texts by a blocked sparse product of the document by n-gram incidence.
 
-The incidence matrix (a row for each distinct text, a column for each hashed word
+The incidence matrix (a row for each distinct word sequence, a column for each hashed word
 n-gram) is cut into column blocks. If two rows have a Jaccard similarity of at least t,
 their overlap is at least t/(1+t) of the sum of their sizes, so in at least one block
 the overlap reaches the same share of their sizes there. In a block only
@@ -248,7 +248,7 @@ def _grams_of(text: str, n: int) -> set[tuple[str, ...]]:
 
 
 def near_duplicate_links(rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """uid_a, uid_b, jaccard of the pairs of different texts that are alike; rows: uid long, text string."""
+    """uid_a, uid_b, jaccard of the pairs of different texts that are alike; rows: uid long (equal for equal word sequences), text string."""
     splits = max(1, min(4096, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 // BLOCK_GROUPS))
     levels = _frequency_sketch(rows, n)
     cand = checkpointed(_candidates(rows, n, threshold, levels, splits))
@@ -283,16 +283,17 @@ def near_duplicate_links(rows: DataFrame, n: int, threshold: float) -> DataFrame
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     enough = F.lower(F.col(text_col)).rlike(f"(?s)^(?:[^a-z0-9]*+[a-z0-9]++){{{max(min_words, 1)}}}")
-    return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & enough).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
+    words_only = F.trim(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]++", " "))
+    return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & enough).select(F.col(id_col).alias("id"), F.xxhash64(words_only).alias("uid"), F.col(text_col).alias("text"))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 60) -> DataFrame:
     """A row for each distinct (id, text): id, uid, group_id, n_links.
 
-    Rows with null id or text, or fewer than min_words words, are left out. Equal texts
-    share a uid and a group; n_links counts a text's links to different texts. A text
-    without any is its own group. An empty table gives no rows; other columns are ignored.
-    Texts are told apart by a 64-bit hash.
+    Rows with null id or text, or fewer than min_words words, are left out. Texts of equal
+    words in equal order share a uid and a group; n_links counts a text's links to others.
+    A text without any is its own group. An empty table gives no rows; other columns are
+    ignored. Word sequences are told apart by a 64-bit hash.
     """
     rows = _prepared(df, id_col, text_col, min_words)
     links = checkpointed(near_duplicate_links(rows, n, threshold))
@@ -306,7 +307,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str
 
 
 def group_pairs(groups: DataFrame, most_copies: int = 100) -> DataFrame:
-    """id_a < id_b of one group. Of more than most_copies exact copies of one text, each further copy is paired with the first only."""
+    """id_a < id_b of one group. Of more than most_copies copies of one word sequence, each further copy is paired with the first only."""
     ids = groups.select("id", "uid", "group_id")
     copies = ids.groupBy("uid").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("first"))
     m = ids.join(copies, "uid").withColumn("expand", (F.col("copies") <= most_copies) | (F.col("id") == F.col("first")))
