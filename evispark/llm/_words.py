@@ -93,6 +93,16 @@ def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix((run[at + n] - run[at]) * inverse[at])
 
 
+def sequence_hash(w: Words) -> np.ndarray:
+    """64-bit hash of each text's words in order, as a signed integer."""
+    powers, inverse = _tables(len(w.hash) + 1)
+    run = np.zeros(len(w.hash) + 1, np.uint64)
+    np.cumsum(w.hash * powers[: len(w.hash)], out=run[1:])
+    end = np.cumsum(w.counts)
+    start = end - w.counts
+    return mix((run[end] - run[start]) * inverse[start] + w.counts.astype(np.uint64)).view(np.int64)
+
+
 def by_size(rows: Iterator[tuple], text_at: int, most_chars: int = 1 << 20, most_rows: int = 1000) -> Iterator[list[tuple]]:
     """Batches of rows of bounded total text length; a longer text forms its own batch."""
     batch: list[tuple] = []

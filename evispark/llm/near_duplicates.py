@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm._words import ALNUM_WORD, by_size, mix, sorted_unique, windows, words
+from evispark.llm._words import ALNUM_WORD, Words, by_size, mix, sequence_hash, sorted_unique, windows, words
 from evispark.operators.components import connected_components
 from evispark.session import checkpointed
 
@@ -34,22 +34,32 @@ SLICES = 32
 FIRST_SIZE, FIRST_BLOCKS, FACTOR, CLASSES = 160, 4, 3, 9
 #: A task multiplies one of so many groups of blocks, or a share of its columns.
 BLOCK_GROUPS = 16
-#: Most links (two longs each) that are broadcast to fetch the texts; more are joined by a shuffle.
-BROADCAST_LINKS = 500_000
+#: Most candidate links whose ids are broadcast to fetch the texts; of more they are joined by a shuffle.
+BROADCAST_LINKS = 200_000
 
 
-def _distinct_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    w = words(texts, alnum=True)
+def _grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     at, h = windows(w, n)
     return w.doc[at].astype(np.uint64), h
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """uid and text of the rows, each uid once for a task's batch."""
-    rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    for batch in by_size(rows, 1):
-        once = dict(batch)
-        yield list(once), list(once.values())
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Words of the texts in the last column, each text once for a task's batch."""
+    rows = ((t,) for b in batches for t in b.column(b.num_columns - 1).to_pylist())
+    for batch in by_size(rows, 0):
+        yield words(list(dict.fromkeys(t for (t,) in batch)), alnum=True)
+
+
+def _with_uid(rows: DataFrame, keep: str) -> DataFrame:
+    """uid of each row's text beside the column `keep` (id or text)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for batch in by_size(each, 1):
+            uid = sequence_hash(words([t for _, t in batch], alnum=True))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in batch], pa.string()), pa.array(uid, pa.int64())], [keep, "uid"])
+
+    return rows.select(F.col(keep).cast("string"), "text").mapInArrow(add, f"{keep} string, uid long") if keep != "text" else rows.select(F.col("text").alias("t"), "text").mapInArrow(add, "text string, uid long")
 
 
 def _frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
@@ -59,8 +69,8 @@ def _frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
-        for _, texts in _text_batches(batches):
-            _, h = _distinct_grams(texts, n)
+        for w in _batches(batches):
+            _, h = _grams(w, n)
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
         level = np.minimum(255, np.round(16 * np.log2(1 + total))).astype(np.uint8)
         if total.any():
@@ -73,7 +83,7 @@ def _frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
         level = np.minimum(31, np.round(1.5 * np.log2(1 + total))).astype(np.uint8)
         return pd.DataFrame({"slice": [key[0]], "cells": [level.tobytes()]})
 
-    parts = rows.select("uid", "text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary")
+    parts = rows.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary")
     levels = np.zeros(cells, np.uint8)
     for r in parts.collect():  # SLICES rows of a fixed size
         levels[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["cells"], np.uint8)
@@ -96,11 +106,11 @@ class _Entries(NamedTuple):
     parity: np.ndarray
 
 
-def _block_entries(texts: list[str], n: int, t: float, levels: np.ndarray, splits: int) -> _Entries:
+def _block_entries(w: Words, n: int, t: float, levels: np.ndarray, splits: int) -> _Entries:
     """Of a batch's rows; splits: shares of a group's columns."""
-    doc, h = _distinct_grams(texts, n)
+    doc, h = _grams(w, n)
     once = sorted_unique((doc << np.uint64(48)) | (h >> np.uint64(16)))
-    sizes = np.bincount((once >> np.uint64(48)).astype(np.int64), minlength=len(texts))
+    sizes = np.bincount((once >> np.uint64(48)).astype(np.int64), minlength=len(w.counts))
     own, upper = _size_class(sizes), _size_class(np.ceil(sizes / t))
     level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     found: list[_Entries] = []
@@ -196,19 +206,20 @@ def _multiply(gram: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarra
 
 def _candidates(rows: DataFrame, n: int, t: float, levels: np.ndarray, splits: int) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids: list[int] = []
+        uids: list[np.ndarray] = []
         held: list[_Entries] = []
-        heads = 0
-        for ids, texts in _text_batches(batches):
-            e = _block_entries(texts, n, t, levels, splits)
-            held.append(e._replace(head=e.head + heads, row=e.row + np.uint16(len(uids))))
+        heads = rows_held = 0
+        for w in _batches(batches):
+            e = _block_entries(w, n, t, levels, splits)
+            held.append(e._replace(head=e.head + heads, row=e.row + np.uint16(rows_held)))
             heads += len(e.row)
-            uids += ids
-            if len(uids) > 12_000:
-                yield _pack(np.array(uids, np.int64), _joined(held))
-                uids, held, heads = [], [], 0
+            rows_held += len(w.counts)
+            uids.append(sequence_hash(w))
+            if rows_held > 12_000:
+                yield _pack(np.concatenate(uids), _joined(held))
+                uids, held, heads, rows_held = [], [], 0, 0
         if uids:
-            yield _pack(np.array(uids, np.int64), _joined(held))
+            yield _pack(np.concatenate(uids), _joined(held))
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
         uid, gram, at, size, parity = (np.concatenate(x) for x in zip(*(_unpack(*m) for m in zip(part["uids"], part["heads"], part["body"], strict=True)), strict=True))
@@ -233,7 +244,7 @@ def _candidates(rows: DataFrame, n: int, t: float, levels: np.ndarray, splits: i
         return pd.DataFrame({"uid_a": np.minimum(a, b), "uid_b": np.maximum(a, b)})
 
     return (
-        rows.select("uid", "text")
+        rows.select("text")
         .mapInArrow(entries, "part int, uids binary, heads binary, body binary")
         .groupBy("part")
         .applyInPandas(product, "uid_a long, uid_b long")
@@ -247,17 +258,17 @@ def _grams_of(text: str, n: int) -> set[tuple[str, ...]]:
     return set(zip(*(w[i:] for i in range(n)), strict=False))
 
 
-def near_duplicate_links(rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """uid_a, uid_b, jaccard of the pairs of different texts that are alike; rows: uid long (equal for equal word sequences), text string."""
+def near_duplicate_links(rows: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """uid_a, uid_b, jaccard of the pairs of different word sequences that are alike; rows: id, text; members: id, uid."""
     splits = max(1, min(4096, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 // BLOCK_GROUPS))
     levels = _frequency_sketch(rows, n)
     cand = checkpointed(_candidates(rows, n, threshold, levels, splits))
-    ids = cand.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct()
-    if cand.count() <= BROADCAST_LINKS:
-        texts = rows.join(F.broadcast(ids), "uid", "left_semi")
-    else:
-        texts = rows.join(ids, "uid", "left_semi")
-    texts = texts.groupBy("uid").agg(F.first("text").alias("text"))
+    few = cand.count() <= BROADCAST_LINKS
+    small = F.broadcast if few else lambda x: x
+    uids = cand.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct()
+    ids = members.join(small(uids), "uid", "left_semi").groupBy("uid").agg(F.min("id").alias("id")).select("id")
+    # an id may have several texts, so the uid is taken anew; what isn't a candidate falls out of the joins below
+    texts = _with_uid(rows.join(small(ids), "id", "left_semi"), "text").groupBy("uid").agg(F.first("text").alias("text"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, set] = {}
@@ -283,8 +294,7 @@ def near_duplicate_links(rows: DataFrame, n: int, threshold: float) -> DataFrame
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     enough = F.lower(F.col(text_col)).rlike(f"(?s)^(?:[^a-z0-9]*+[a-z0-9]++){{{max(min_words, 1)}}}")
-    words_only = F.trim(F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9]++", " "))
-    return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & enough).select(F.col(id_col).alias("id"), F.xxhash64(words_only).alias("uid"), F.col(text_col).alias("text"))
+    return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & enough).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, min_words: int = 60) -> DataFrame:
@@ -296,12 +306,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str
     ignored. Word sequences are told apart by a 64-bit hash.
     """
     rows = _prepared(df, id_col, text_col, min_words)
-    links = checkpointed(near_duplicate_links(rows, n, threshold))
+    members = checkpointed(_with_uid(rows, "id").distinct())
+    links = checkpointed(near_duplicate_links(rows, members, n, threshold))
     degree = links.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("n_links"))
     groups = connected_components(links.select(F.col("uid_a").alias("src"), F.col("uid_b").alias("dst"))).join(degree.withColumnRenamed("uid", "node"), "node")
     return (
-        rows.select("id", "uid").distinct()
-        .join(groups.withColumnRenamed("node", "uid"), "uid", "left")
+        members.join(groups.withColumnRenamed("node", "uid"), "uid", "left")
         .select("id", "uid", F.coalesce("component", "uid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
