@@ -27,6 +27,8 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 FILTER_BITS = 24
 SLICES = 32
 BROADCAST_IDS = 1_000_000
+#: An anchor of at least so many entries of the right side, and of a quarter of a task's share, is spread over several tasks; so there are at most four such anchors for each task.
+HOT_ENTRIES = 50_000
 
 
 def cover_of(min_words: int) -> tuple[int, tuple[int, ...], int]:
@@ -122,6 +124,63 @@ def _packed(side: DataFrame, which: int, min_words: int, parts: int, known: np.n
     return side.select("uid", "text").mapInArrow(pack, "part int, side int, uids binary, body binary")
 
 
+def _hot_anchors(messages: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of hot anchors in order, their entries on the right side, and the entries a task takes of one."""
+    right = messages.where("side = 1")
+    entries = right.agg(F.sum(F.octet_length("body")).alias("n")).first()["n"] or 0
+    least = max(HOT_ENTRIES, entries // 10 // parts // 4)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for body in pdf["body"]:
+                h = np.sort(np.frombuffer(body, np.uint64, len(body) // 10))
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                n = np.diff(np.append(first, len(h)))
+                some = n > min(100, least // 10)
+                yield pd.DataFrame({"h": h[first[some]].view(np.int64), "n": n[some]})
+
+    hot = right.select("body").mapInPandas(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    h = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["n"] for r in hot], np.int64)[order], least
+
+
+def _spread(messages: DataFrame, parts: int) -> DataFrame:
+    """messages with the entries of hot anchors spread over tasks: the right side's in shares, the left side's copied to each of them."""
+    hot, count, share = _hot_anchors(messages, parts)
+    if not len(hot):
+        return messages
+    tasks = np.minimum(-(-count // share), parts)
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = 0
+        for pdf in batches:
+            out = []
+            for part, side, ids, body in zip(pdf["part"], pdf["side"], pdf["uids"], pdf["body"], strict=True):
+                n = len(body) // 10
+                h, row = np.frombuffer(body, np.uint64, n), np.frombuffer(body, np.uint16, n, 8 * n)
+                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                is_hot = hot[at] == h
+                keep = ~is_hot
+                if keep.any():
+                    out.append((part, side, ids, h[keep].tobytes() + row[keep].tobytes()))
+                h, row, wide = h[is_hot], row[is_hot], tasks[at[is_hot]]
+                if side == 1:
+                    turn += 1
+                    to = (np.arange(len(h)) + turn) % wide if len(h) else wide
+                    each = np.arange(len(h))
+                else:
+                    each = np.repeat(np.arange(len(h)), wide)
+                    to = np.arange(len(each)) - np.repeat(np.cumsum(wide) - wide, wide)
+                place = (part + to) % parts
+                for p in sorted_unique(place):
+                    own = each[place == p]
+                    out.append((int(p), side, ids, h[own].tobytes() + row[own].tobytes()))
+            yield pd.DataFrame(out, columns=["part", "side", "uids", "body"])
+
+    return messages.mapInPandas(move, "part int, side int, uids binary, body binary")
+
+
 def _candidate_pairs(left: DataFrame, right: DataFrame, min_words: int) -> DataFrame:
     parts = max(12, min(30_000, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     known = _anchor_filter(left, min_words)
@@ -158,8 +217,8 @@ def _candidate_pairs(left: DataFrame, right: DataFrame, min_words: int) -> DataF
             found = sorted_unique(np.concatenate(held))
         return pd.DataFrame({"uid_l": known_a[(found >> np.uint64(32)).astype(np.int64)], "uid_r": known_b[(found & np.uint64(0xFFFFFFFF)).astype(np.int64)]})
 
-    both = _packed(left, 0, min_words, parts, None).unionByName(_packed(right, 1, min_words, parts, known))
-    return both.groupBy("part").applyInPandas(meet, "uid_l long, uid_r long").distinct()
+    both = checkpointed(_packed(left, 0, min_words, parts, None).unionByName(_packed(right, 1, min_words, parts, known)))
+    return _spread(both, parts).groupBy("part").applyInPandas(meet, "uid_l long, uid_r long").distinct()
 
 
 def common_runs(a: list[str], b: list[str], min_words: int) -> list[tuple[int, int, int]]:
