@@ -123,6 +123,19 @@ def test_shared_runs_equal_brute_force(spark, words_of, least):
             assert run["n"] >= least
 
 
+def test_hot_anchors_are_spread(spark, words_of, monkeypatch):
+    monkeypatch.setattr(ss, "HOT_ENTRIES", 20)
+    hot = words_of(1, 40)
+    right = {f"r{k}": words_of(k + 50, 10) + (hot if k % 2 else words_of(k + 500, 40)) for k in range(200)}
+    r = spark.createDataFrame([(k, " ".join(v)) for k, v in right.items()], "id string, text string").repartition(4).withColumn("uid", nd.F.xxhash64("text"))
+    left = spark.createDataFrame([(" ".join(hot),), (" ".join(hot[:35]),)], "text string").withColumn("uid", nd.F.xxhash64("text"))
+    messages = ss._packed(left, 0, 30, 12, None).unionByName(ss._packed(r, 1, 30, 12, None))
+    assert len(ss._hot_anchors(messages, 12)[0]) > 3
+    got = ss.shared_runs(left, r, 30).join(r.selectExpr("uid uid_r", "id"), "uid_r")
+    assert got.groupBy("uid_l").count().where("count = 100").count() == 2
+    assert {x["id"] for x in got.collect()} == {k for k in right if int(k[1:]) % 2}
+
+
 def test_maximal_runs_and_shares(spark):
     a = [f"w{i}" for i in range(40)]
     assert ss.common_runs(["x", *a, "y"], ["q", *a[:39]], 30) == [(1, 1, 39)]
