@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.ranks import running_sum
+from evispark.session import checkpointed
 
 
 def score_percentiles(hits: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def score_percentiles(hits: DataFrame, kinds: DataFrame) -> DataFrame:
     lower = kinds.where(F.lower("better") == "lower").select("retriever").distinct().withColumn("_lower", F.lit(True))
     usable = hits.select("query_id", "retriever", "chunk_id", F.col("score").cast("double").alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("query_id").isNotNull() & F.col("chunk_id").isNotNull() & F.col("retriever").isNotNull())
     good = F.when(F.col("_lower"), -F.col("score")).otherwise(F.col("score")) + F.lit(0.0)  # -0.0 becomes 0.0
-    best = usable.join(lower, "retriever", "left").groupBy("query_id", "retriever", "chunk_id").agg(F.max(good).alias("good"))
+    best = checkpointed(usable.join(lower, "retriever", "left").groupBy("query_id", "retriever", "chunk_id").agg(F.max(good).alias("good")))
     values = best.groupBy("query_id", "retriever", "good").agg(F.count("*").alias("same"))
     total = values.groupBy("query_id", "retriever").agg(F.sum("same").alias("n"))
     below = running_sum(values, ["query_id", "retriever"], [F.col("good")], F.col("same"), "below").join(total, ["query_id", "retriever"])
@@ -32,6 +33,7 @@ def leximin_vectors(percentiles: DataFrame) -> DataFrame:
 
     A usable retriever of the query that doesn't list the chunk counts as percentile 0.
     """
+    percentiles = checkpointed(percentiles)
     lists = percentiles.select("query_id", "retriever").distinct().groupBy("query_id").agg(F.count("*").alias("n_retrievers"))
     own = percentiles.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list("percentile")).alias("own"), F.count_if(F.col("percentile") == 1.0).alias("n_first"))  # at most a value for each retriever
     pad = F.array_repeat(F.lit(0.0), (F.col("n_retrievers") - F.size("own")).cast("int"))
