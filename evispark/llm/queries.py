@@ -148,6 +148,21 @@ b AS (SELECT query_id, retriever, MAX(s) AS s FROM h GROUP BY 1, 2),
 f AS (SELECT query_id, retriever, MIN(chunk_id) AS chunk_id FROM h JOIN b USING (query_id, retriever, s) GROUP BY 1, 2 HAVING COUNT(*) = 1),
 n AS (SELECT query_id, COUNT(*) AS n FROM b GROUP BY 1)
 SELECT query_id, chunk_id FROM f JOIN n USING (query_id) GROUP BY query_id, chunk_id, n HAVING COUNT(*) * 2 > n""",
+        "p3_ranking": """
+WITH h AS (SELECT query_id, retriever, chunk_id, MAX(CASE WHEN better = 'lower' THEN -score ELSE score END) AS s FROM hits LEFT JOIN score_kinds USING (retriever)
+           WHERE score IS NOT NULL AND NOT ISNAN(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL AND retriever IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, RANK() OVER (PARTITION BY query_id, retriever ORDER BY s) - 1 AS below, COUNT(*) OVER (PARTITION BY query_id, retriever, s) AS same, COUNT(*) OVER (PARTITION BY query_id, retriever) AS n FROM h),
+p AS (SELECT query_id, chunk_id, CASE WHEN n = 1 THEN CAST(1 AS DOUBLE) ELSE (below + CAST(0.5 AS DOUBLE) * (same - 1)) / (n - 1) END AS p FROM r),
+k AS (SELECT query_id, COUNT(DISTINCT retriever) AS k FROM h GROUP BY 1),
+v AS (SELECT query_id, chunk_id, LIST_SORT(LIST_CONCAT(LIST(p), LIST_TRANSFORM(RANGE(ANY_VALUE(k) - COUNT(*)), lambda x: CAST(0 AS DOUBLE)))) AS v FROM p JOIN k USING (query_id) GROUP BY 1, 2)
+SELECT query_id, chunk_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS rank FROM v""",
+        "p8_report": """
+WITH a AS (SELECT item_id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+b AS (SELECT doc_id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT DISTINCT item_id, MD5(ARRAY_TO_STRING(w[i:i + 11], ' ')) AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - 10)) AS i FROM a)),
+y AS (SELECT DISTINCT doc_id, MD5(ARRAY_TO_STRING(w[i:i + 11], ' ')) AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - 10)) AS i FROM b)),
+f AS (SELECT item_id, COUNT(DISTINCT doc_id) AS n FROM x JOIN y USING (g) GROUP BY 1)
+SELECT DISTINCT item_id, item_set, COALESCE(n, 0) AS n_docs FROM eval_items LEFT JOIN f USING (item_id)""",
         "p6_found": f"WITH {_LINES} SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN n USING (site, k)",
         "p6_clean": f"""
 WITH {_LINES},
