@@ -316,15 +316,23 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str
     )
 
 
-def group_pairs(groups: DataFrame, most_copies: int = 100) -> DataFrame:
-    """id_a < id_b of one group. Of more than most_copies copies of one word sequence, each further copy is paired with the first only."""
+def group_pairs(groups: DataFrame, most_copies: int | None = None) -> DataFrame:
+    """id_a < id_b of one group, all of them; their number grows with the square of the group.
+
+    Only if most_copies is given: of more copies of one word sequence, each further copy is paired with the first only.
+    """
     ids = groups.select("id", "uid", "group_id")
-    copies = ids.groupBy("uid").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("first"))
-    m = ids.join(copies, "uid").withColumn("expand", (F.col("copies") <= most_copies) | (F.col("id") == F.col("first")))
+    if most_copies is None:
+        m = ids.withColumns({"first": F.col("id"), "expand": F.lit(True)})
+    else:
+        copies = ids.groupBy("uid").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("first"))
+        m = ids.join(copies, "uid").withColumn("expand", (F.col("copies") <= most_copies) | (F.col("id") == F.col("first")))
     size = m.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
     m = checkpointed(m.join(size, "group_id").select("id", "group_id", "first", "expand"))
     full = m.where("expand")
     a, b = full.select("group_id", F.col("id").alias("id_a")), full.select("group_id", F.col("id").alias("id_b"))
     pairs = a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")
+    if most_copies is None:
+        return pairs.distinct()
     star = m.where(~F.col("expand")).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
     return pairs.unionByName(star).distinct()

@@ -77,6 +77,14 @@ def test_near_duplicates_of_nothing_and_of_many_copies(spark, words_of):
     assert nd.group_pairs(g).count() == 31 * 30 // 2
 
 
+def test_no_pair_of_a_group_is_lost_however_many_copies(spark, words_of):
+    text = " ".join(words_of(2, 80))
+    rows = [(f"c{i:03d}", text if i % 2 else text.replace(" ", ", ", i)) for i in range(104)] + [(f"e{i}", f"{text} end{i}") for i in range(3)]
+    g = nd.near_duplicate_groups(spark.createDataFrame(rows, "chunk_id string, text string"))
+    ids = sorted(k for k, _ in rows)
+    assert {(r[0], r[1]) for r in nd.group_pairs(g).collect()} == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+
+
 def test_vectorised_words_equal_the_regex():
     texts = ["Ab-c 12,3 É x", "", "a" * 3000, "\u212a\u0130z q", "tab\tand\u00a0nbsp\u2003em", "x"]
     got = W.words(texts, alnum=True)
