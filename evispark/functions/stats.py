@@ -80,6 +80,15 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.try_element_at(values, F.least(n, F.floor(F.lit(share) * n).cast("int") + 1))
 
 
+def nearest_rank_by(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """group, value: nearest_rank over all samples of each group, repeated ones too; null only where all are. Values are gathered as counts."""
+    per = df.groupBy(group, value).agg(F.count(value).alias("_c"))
+    run = Window.partitionBy(group).orderBy(F.col(value).asc_nulls_first())
+    cum = per.withColumn("_upto", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    at = F.least(F.col("_n"), F.floor(F.lit(share) * F.col("_n")) + 1)
+    return cum.groupBy(group).agg(F.min(F.when(F.col("_upto") >= at, F.col(value))).alias(value))
+
+
 def bootstrap_means(df: DataFrame, group: str, values: list[str], rounds: int = 200) -> DataFrame:
     """group, round, n, and the mean of each value column over n rows drawn with replacement by hash.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
-from evispark.functions.stats import ERFC, Z95_EXACT, bootstrap_means, nearest_rank
+from evispark.functions.stats import ERFC, Z95_EXACT, bootstrap_means, nearest_rank_by
 from evispark.operators import evaluation as ev
 from evispark.operators import filters, fusion, routing, screen
 from evispark.plans.retrieval import _LISTS
@@ -200,8 +200,8 @@ def bootstrap_paired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_rank_p95(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "answers").where("route_reason is not null").groupBy("route_reason").agg(F.array_sort(F.collect_set("generation_ms")).alias("v"))
-    return g.select("route_reason", nearest_rank(F.col("v"), 0.95).alias("p95"))
+    a = table(spark, d, "answers").where("route_reason is not null")
+    return nearest_rank_by(a, "route_reason", "generation_ms", 0.95).withColumnRenamed("generation_ms", "p95")
 
 
 def disparity_screen(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evispark.functions import stats as S
 from evispark.operators import evaluation as ev
 from evispark.operators import screen
+from evispark.plans import evaluation as plans
 
 
 def test_wilson(spark):
@@ -47,6 +48,14 @@ def test_nearest_rank_and_lone_values(spark):
     assert [r[0] for r in df.select(S.exclusive_percentile(F.col("v"), 95)).collect()][1] == 7
 
 
+def test_nearest_rank_counts_repeated_values(spark, tmp_path):
+    xs = [1] * 90 + [2] * 6 + list(range(3, 7))
+    rows = [("a", x) for x in xs] + [("a", None), ("b", 7), (None, 1)]
+    spark.createDataFrame(rows, "route_reason string, generation_ms long").write.parquet(str(tmp_path / "answers.parquet"))
+    got = {r["route_reason"]: r["p95"] for r in plans.nearest_rank_p95(spark, str(tmp_path)).collect()}
+    assert got == {"a": sorted(xs)[min(99, int(0.95 * 100))], "b": 7}
+
+
 def _bh(ps, alpha=0.05):
     m = len(ps)
     order = sorted(range(m), key=lambda i: ps[i])
