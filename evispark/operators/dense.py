@@ -16,7 +16,7 @@ QUERIES_AT_ONCE = 2000
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score: each batch's k best vectors of each query, so the k best of all are among them.
+    """query_id, vec_id, score: each batch's k best vectors of each query, so the k best of all are among them, ties by vec_id included.
 
     A stated query set against all vectors in blocks: the queries of a pass are read to the driver
     (at most QUERIES_AT_ONCE of them), each batch is one matrix product. Null vectors score nothing.
@@ -30,17 +30,30 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
                 if not len(pdf):
                     continue
                 m = np.stack(pdf[embedding].to_numpy()).astype(np.float64) @ matrix.T
-                n = min(len(m), k * 2 + 10)
-                part = np.argpartition(-m, n - 1, axis=0)[:n] if n < len(m) else np.repeat(np.arange(len(m))[:, None], m.shape[1], 1)
-                q = np.repeat(np.arange(len(ids))[None, :], len(part), 0)
                 vec = pdf[vec_id].to_numpy()
-                yield pd.DataFrame({"query_id": np.array(ids)[q.ravel()], "vec_id": vec[part.ravel()], "score": m[part.ravel(), q.ravel()]})
+                part, q = _best(m, vec, k)
+                yield pd.DataFrame({"query_id": np.array(ids)[q], "vec_id": vec[part], "score": m[part, q]})
 
         own = vectors.where(F.col(embedding).isNotNull()).select(vec_id, embedding).mapInPandas(score, "query_id long, vec_id long, score double")
         result = own if result is None else result.unionByName(own)
     return result
 
 
+def _best(m: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of m that can be among a column's k best by (score to 9 digits, vec): all down to the k-th score, and of equal scores the k least vec."""
+    n = min(len(m), k)
+    if not n or not m.shape[1]:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.partition(m, len(m) - n, axis=0)[len(m) - n] - 2e-9  # what rounds as the k-th score lies above
+    q, part = np.nonzero(((m >= least) | np.isnan(m)).T)
+    score = m[part, q]
+    order = np.lexsort((vec[part], -score, q))
+    q, part, score = q[order], part[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (score[1:] != score[:-1]))))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return part[place < k], q[place < k]
+
+
 def _passes(rows: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     ids, vecs = [], []
     for i, v in rows.toLocalIterator():

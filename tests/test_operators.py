@@ -41,6 +41,20 @@ def test_dense_topk_equals_numpy_and_filter_keeps_k(spark):
     assert dense.dense_topk(q, df.limit(0), 10).count() == 0
 
 
+def test_dense_ties_go_by_vec_id_within_a_batch(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 8))
+    v[::3] = v[0] / np.linalg.norm(v[0]) * 9  # a third are copies, best for a query that is one too
+    ids = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), [float(x) for x in v[i]], int(i) % 5) for i in ids], "vec_id long, embedding array<double>, label int").coalesce(1)
+    q = df.where("vec_id in (0, 1)").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = dense.dense_topk(q, df, 20).collect()
+    for i in (0, 1):
+        score = v @ v[i]
+        want = sorted(range(3000), key=lambda j: (-round(score[j], 9), j))[:20]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == want
+
+
 def test_backoff_appends_what_is_missing(spark):
     a = spark.createDataFrame([(1, 7, 1)], "query_id int, vec_id int, rank int")
     b = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (1, 6, 3)], "query_id int, vec_id int, rank int")
