@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 Z95_EXACT = 1.959963984540054
 
+#: Most values that are broadcast to a bootstrap's draws; more are joined by a shuffle.
+BROADCAST_VALUES = 1_000_000
+
 # Coefficients of the complementary error function in Horner form, from Numerical Recipes.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -89,16 +92,26 @@ def nearest_rank_by(df: DataFrame, group: str, value: str, share: float) -> Data
     return cum.groupBy(group).agg(F.min(F.when(F.col("_upto") >= at, F.col(value))).alias(value))
 
 
-def bootstrap_means(df: DataFrame, group: str, values: list[str], rounds: int = 200) -> DataFrame:
+def bootstrap_means(df: DataFrame, group: str, values: list[str], rounds: int = 10_000) -> DataFrame:
     """group, round, n, and the mean of each value column over n rows drawn with replacement by hash.
 
     df needs `group`, `at` (0 .. n-1 within the group) and n; draw i of round r is row md5(r|i) mod n,
     so any engine draws alike. Rounds are spread over tasks; a group is a set of questions, not raw data.
+    Values are broadcast up to BROADCAST_VALUES rows and joined by a shuffle beyond.
     """
     spark = df.sparkSession
     r = spark.range(rounds).select(F.col("id").cast("int").alias("round"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("round").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
     size = df.select(group, "n").distinct()
-    draws = size.crossJoin(F.broadcast(r)).select(group, "round", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
+    draws = r.crossJoin(F.broadcast(size)).select(group, "round", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))  # a row for each group
     draws = draws.select(group, "round", (pick % F.col("n")).alias("at"))
-    return draws.join(df.select(group, "at", *values), [group, "at"]).groupBy(group, "round").agg(*[F.avg(v).alias(v) for v in values])
+    own = df.select(group, "at", *values)
+    own = F.broadcast(own) if own.count() <= BROADCAST_VALUES else own
+    return draws.join(own, [group, "at"]).groupBy(group, "round").agg(*[F.avg(v).alias(v) for v in values])
+
+
+def bootstrap_interval(means: DataFrame, group: str, value: str, rounds: int = 10_000) -> DataFrame:
+    """group, low, high, p_better of the rounds' means: elements int(.025 R) and int(.975 R) from 0, and the share of rounds above 0."""
+    v = F.array_sort(F.collect_list(value))  # one value for each round
+    at = lambda share: F.element_at("_v", int(share * rounds) + 1)
+    return means.groupBy(group).agg(v.alias("_v"), F.avg((F.col(value) > 0).cast("int")).alias("p_better")).select(group, at(0.025).alias("low"), at(0.975).alias("high"), "p_better")

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
-from evispark.functions.stats import ERFC, Z95_EXACT, bootstrap_means, nearest_rank_by
+from evispark.functions.stats import ERFC, Z95_EXACT, bootstrap_interval, bootstrap_means, nearest_rank_by
 from evispark.operators import evaluation as ev
 from evispark.operators import filters, fusion, routing, screen
 from evispark.plans.retrieval import _LISTS
 from evispark.plans.tables import table
+from evispark.session import checkpointed
 from evispark.streaming import ingest
 
 #: Names by which the questions of the test tables call some issuers.
 ALIASES = {"ARDF": ("ardfield bankshares", "ardfield"), "CALD": ("caldston bancorp", "caldston"), "FENF": ("fenford financial",), "NORL": ("norlow bancorp", "norlow"), "STAN": ("stanston capital",)}
-K, SOURCES = 5, 6
+K, SOURCES, ROUNDS = 5, 6, 10_000
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
@@ -192,11 +193,21 @@ def bootstrap_paired(spark: SparkSession, d: str) -> DataFrame:
     size = pair.agg(F.count("*").alias("n"))
     # a number for each question, by rank over the ids: questions are few beside the data they are asked of
     at = pair.withColumn("at", F.row_number().over(ev.Window.orderBy("id")) - 1).crossJoin(F.broadcast(size)).select(F.lit("all").alias("g"), F.col("at").cast("long").alias("at"), "n", (F.col("b") - F.col("a")).alias("delta"))
-    means = bootstrap_means(at, "g", ["delta"], 200)
-    v = F.array_sort(F.collect_list("delta"))  # one value for each of 200 rounds
-    out = means.agg(v.alias("v")).crossJoin(F.broadcast(at.agg(F.avg("delta").alias("delta"), F.count("*").alias("n"))))
-    low, high = F.round(F.element_at("v", 6), 6), F.round(F.element_at("v", 196), 6)
-    return out.select(F.round("delta", 6).alias("delta"), low.alias("low"), high.alias("high"), "n", ((low > 0) | (high < 0)).alias("resolved"))
+    at = checkpointed(at)
+    ends = bootstrap_interval(bootstrap_means(at, "g", ["delta"], ROUNDS), "g", "delta", ROUNDS)
+    out = at.agg(F.avg("delta").alias("delta"), F.count("*").alias("n")).join(F.broadcast(ends), F.lit(True), "left")  # one row each
+    low, high = F.round("low", 6), F.round("high", 6)
+    return out.select(F.round("delta", 6).alias("delta"), low.alias("low"), high.alias("high"), F.round("p_better", 6).alias("p_better"), "n", ((low > 0) | (high < 0)).alias("resolved"))
+
+
+def recall_macro_interval(spark: SparkSession, d: str) -> DataFrame:
+    """retriever, macro, low, high: the mean recall with its own bootstrap interval, questions being resampled."""
+    r = ev.recall_at_k(_ranks(spark, d), K)
+    size = r.groupBy("retriever").agg(F.count("*").alias("n"), F.avg("recall").alias("macro"))
+    at = r.withColumn("at", F.row_number().over(ev.Window.partitionBy("retriever").orderBy("id")) - 1).join(F.broadcast(size), "retriever")  # a row for each retriever
+    at = checkpointed(at.select("retriever", F.col("at").cast("long").alias("at"), "n", "macro", "recall"))
+    ends = bootstrap_interval(bootstrap_means(at, "retriever", ["recall"], ROUNDS), "retriever", "recall", ROUNDS)
+    return at.select("retriever", F.round("macro", 6).alias("macro")).distinct().join(ends, "retriever").select("retriever", "macro", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def nearest_rank_p95(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +243,7 @@ def events_sessions(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         route_heuristic, issuer_detect, split_gate, implied_filters, filter_union, metadata_filter, overlap_fraction, recall_at_k, mrr, recall_by_span_tier, recall_macro_micro_wilson, retrievability_ceiling, citation_audit, citation_validity_density, abstention_pair, route_accuracy,
-        latency_percentiles, nearest_rank_p95, latest_run_per_prefix, widest_run_wins, gate_enforce, baseline_regression, failure_taxonomy, golden_violations, question_overlap, verbatim_check, bootstrap_paired, disparity_screen, disparity_bh, disparity_report, events_tumbling, events_sessions,
+        latency_percentiles, nearest_rank_p95, latest_run_per_prefix, widest_run_wins, gate_enforce, baseline_regression, failure_taxonomy, golden_violations, question_overlap, verbatim_check, bootstrap_paired, recall_macro_interval, disparity_screen, disparity_bh, disparity_report, events_tumbling, events_sessions,
     )
     return {f.__name__: f for f in fs}
 

@@ -1,5 +1,6 @@
 """Intervals, tests and percentiles."""
 
+import hashlib
 import math
 import statistics
 
@@ -56,6 +57,15 @@ def test_nearest_rank_counts_repeated_values(spark, tmp_path):
     assert got == {"a": sorted(xs)[min(99, int(0.95 * 100))], "b": 7}
 
 
+def test_bootstrap_takes_the_reference_s_ends(spark):
+    deltas = [0.5, 0.0, -0.5, 1.0, 0.5, 0.0, 0.0, 0.5, -1.0, 1.0]
+    df = spark.createDataFrame([("all", i, 10, x) for i, x in enumerate(deltas)], "g string, at long, n long, delta double")
+    draw = lambda r, i: int(hashlib.md5(f"{r}|{i}".encode()).hexdigest()[:8], 16) % 10
+    want = sorted(sum(deltas[draw(r, i)] for i in range(10)) / 10 for r in range(10_000))
+    got = S.bootstrap_interval(S.bootstrap_means(df, "g", ["delta"]), "g", "delta").collect()
+    assert [(r["low"], r["high"], r["p_better"]) for r in got] == [(pytest.approx(want[250]), pytest.approx(want[9750]), sum(x > 0 for x in want) / 10_000)]
+
+
 def _bh(ps, alpha=0.05):
     m = len(ps)
     order = sorted(range(m), key=lambda i: ps[i])
