@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions.text import metric_words
 from evispark.operators import chunking, fusion, lexical, routing
+from evispark.session import checkpointed
 
 COLLECTIONS = {"filings": ("edgar", "fomc"), "complaints": ("cfpb",)}
 
@@ -17,14 +18,27 @@ def _one_row(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(F.min(F.struct(*rest)).alias("x")).select("chunk_id", "x.*")
 
 
+def parts(questions: DataFrame) -> DataFrame:
+    """id (struct of the question's id and part), question, collections: part 0 is the question itself, the others its sub-questions.
+
+    A question that isn't worth splitting, or comes without two sub-questions, has part 0 only. Routing is that of the
+    whole question. questions: id, question and, if there are any, sub_questions array<string>.
+    """
+    own = F.col("sub_questions") if "sub_questions" in questions.columns else F.lit(None).cast("array<string>")
+    asked = routing.routed(questions.where("question is not null").select("id", "question", own.alias("sub_questions")).distinct())
+    each = F.array_distinct(F.concat(F.array("question"), routing.accepted_split(F.col("question"), F.col("sub_questions"))))
+    split = asked.select("id", "collections", F.posexplode(each).alias("part", "question"))
+    return split.select(F.struct("id", "part").alias("id"), "question", "collections")
+
+
 def collection_lists(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """query_id, retriever (the collection), chunk_id, pos: the k best of each collection a question is routed to.
 
     Chunks that pass the filters the question implies come first; if they are fewer than k, others follow by score.
-    Filters apply to filings only. questions: id, question.
+    Filters apply to filings only. questions: id, question and the question's collections.
     """
     own = _one_row(chunks)
-    asked = routing.routed(questions.select("id", "question").where("question is not null")).withColumn("f", routing.implied_filters(F.col("question")))
+    asked = questions.withColumn("f", routing.implied_filters(F.col("question")))
     out = None
     for name, sources in COLLECTIONS.items():
         part = own.where(F.col("source").isin(*sources))
@@ -46,13 +60,19 @@ def collection_lists(questions: DataFrame, chunks: DataFrame, k: int) -> DataFra
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 20, context: int = 8, budget: int = 200) -> DataFrame:
     """query_id, chunk_id, rank, score, text: the context of each question.
 
-    Each collection's list is cut at k and then fused; the fused pool is scored by the question's words in any
-    window of the passage (a scorer that needs no model), the best `context` stay, and sentence chunks are
-    widened to their windows last. Repeated chunks count once; a question without any match gives no rows.
+    A question worth splitting is searched for as it stands and by each of its sub-questions (column sub_questions).
+    Each collection's list is cut at k and then fused; each part's pool is scored by that part's words in any window
+    of the passage (a scorer that needs no model), the best `context` are taken round robin from the parts' pools, and
+    sentence chunks are widened to their windows last. Repeated chunks count once; a question without any match gives
+    no rows.
     """
-    pool = fusion.rrf(collection_lists(questions, chunks, k), k * len(COLLECTIONS)).select("query_id", "chunk_id", F.col("rank").alias("pos"))
-    q = questions.where("question is not null").select(F.col("id").alias("query_id"), metric_words(F.col("question")).alias("q")).distinct()
+    asked = checkpointed(parts(questions))
+    pool = fusion.rrf(collection_lists(asked, chunks, k), k * len(COLLECTIONS)).select("query_id", "chunk_id", F.col("rank").alias("pos"))
+    q = asked.select(F.col("id").alias("query_id"), metric_words(F.col("question")).alias("q"))
     p = _one_row(chunks).select("chunk_id", metric_words(F.col("text")).alias("p"))
     pairs = pool.join(q, "query_id").join(p, "chunk_id")
-    top = fusion.rerank(pairs, fusion.windowed_max(pairs, F.col("q"), F.col("p"), budget), context).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
-    return chunking.expand_windows(top, chunks)
+    # no more than `context` of a pool can come among the first `context` of all
+    own = fusion.rerank(pairs, fusion.windowed_max(pairs, F.col("q"), F.col("p"), budget), context)
+    own = checkpointed(own.select(F.col("query_id.id").alias("query_id"), F.col("query_id.part").alias("retriever"), "chunk_id", F.col("rank").alias("pos"), F.round("score", 6).alias("score")))
+    turns = fusion.interleave(own, context).join(own.drop("pos"), ["query_id", "retriever", "chunk_id"])
+    return chunking.expand_windows(turns.select("query_id", "chunk_id", "rank", "score"), chunks)

@@ -15,9 +15,10 @@ from evispark.plans.tables import table
 
 
 def retrieve_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set, questions whose number is divisible by 100, against all chunks."""
+    """The stated query set, questions whose number is divisible by 100, against all chunks; sub-questions are those logged last with the answers."""
     q = table(spark, d, "drafts_multihop").where("question is not null and cast(substring(id, 3) as int) % 100 = 0").groupBy("id").agg(F.max("question").alias("question"))
-    return retrieve.retrieve(q, table(spark, d, "chunks"))
+    logged = table(spark, d, "answers").where("id is not null and size(sub_questions) > 1").groupBy("id").agg(F.max_by("sub_questions", F.struct("logged_at", "trace_id")).alias("sub_questions"))
+    return retrieve.retrieve(q.join(logged, "id", "left"), table(spark, d, "chunks"))
 
 
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.operators import chunking, dense, evaluation, filters, fusion, lexical, normalise, routing
+from evispark.operators import chunking, dense, evaluation, filters, fusion, lexical, normalise, retrieve, routing
 from evispark.operators.components import connected_components
 from evispark.operators.ranks import running_sum
 from evispark.sources import landed, stores
@@ -138,6 +138,22 @@ def test_issuers_periods_and_gate(spark):
     assert not _ask(spark, "What was revenue in 2024?", routing.worth_splitting)
 
 
+def test_each_sub_question_keeps_its_evidence(spark):
+    """K11: asked as a whole, the passages vaguely about both facts win; the one that answers the second part must stay."""
+    vague = [(f"v_{i}", f"compare dividend policy and branch network of the bank {w}") for i, w in enumerate("north south east west".split())]
+    cols = "chunk_id string, doc_id string, source string, ticker string, form string, date string, section string, text string, window_start int, window_end int"
+    rows = [(c, c, "edgar", None, "10-K", "2024-01-01", None, t, None, None) for c, t in [*vague, ("gold_8", "closures hit rural offices"), ("other_9", "tellers and vaults")]]
+    chunks = spark.createDataFrame(rows, cols)
+    text = "Compare the dividend policy of the bank and its branch network"
+    subs = ["dividend policy of the bank", "which rural offices saw closures"]
+    asked = spark.createDataFrame([("whole", text, None), ("split", text, subs), ("plain", "dividend policy", subs)], "id string, question string, sub_questions array<string>")
+    got = retrieve.retrieve(asked, chunks, k=10, context=3).collect()
+    ids = {q: [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in ("whole", "split", "plain")}
+    assert "gold_8" in ids["split"] and len(ids["split"]) == 3
+    assert "gold_8" not in ids["whole"] and "gold_8" not in ids["plain"]
+    assert len(set(ids["split"])) == 3 and {r["rank"] for r in got if r["query_id"] == "split"} == {1, 2, 3}
+
+
 def test_implied_filters(spark):
     f = _ask(spark, "What did Citigroup say in its 2024 10-K?", routing.implied_filters)
     assert (f["ticker"], f["form"], f["years"]) == ("C", "10-K", ["2024", "2025"])
