@@ -12,6 +12,8 @@ from evispark.operators import dense, fusion, lexical
 from evispark.plans.tables import table
 
 K = 20
+#: More places than any pool has.
+FULL = 2**31 - 1
 
 _BM25 = """
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9$][a-z0-9.$%-]*') AS t FROM documents),
@@ -117,10 +119,11 @@ def backend_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored_passages(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, chunk_id, pos, score: windowed scores of the passages of the rerank lists; each text is split once."""
+    """query_id, chunk_id, pos, score: windowed scores of the passages of all retrievers, in the order of their fused lists; each text is split once."""
     q = table(spark, d, "drafts_multihop").where("question is not null").groupBy("id").agg(F.max("question").alias("question")).select(F.col("id").alias("query_id"), T.metric_words(F.col("question")).alias("q"))
     c = table(spark, d, "chunks").where("text is not null").groupBy("chunk_id").agg(F.max("text").alias("text")).select("chunk_id", T.metric_words(F.col("text")).alias("p"))
-    pairs = _lists(spark, d).where("retriever = 'rerank'").join(q, "query_id").join(c, "chunk_id")
+    fused = fusion.rrf(_lists(spark, d), FULL).select("query_id", "chunk_id", F.col("rank").alias("pos"))
+    pairs = fused.join(q, "query_id").join(c, "chunk_id")
     return pairs.select("query_id", "chunk_id", "pos", F.round(fusion.windowed_max(pairs, F.col("q"), F.col("p"), 60), 6).alias("score"))
 
 

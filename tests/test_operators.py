@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evispark.operators import chunking, dense, evaluation, filters, fusion, lexical, normalise, retrieve, routing
 from evispark.operators.components import connected_components
 from evispark.operators.ranks import running_sum
+from evispark.plans import retrieval as plans
 from evispark.sources import landed, stores
 from evispark.streaming import ingest
 
@@ -79,6 +80,15 @@ def test_interleave_and_quota(spark):
     assert {r["retriever"]: r["chunks"] for r in fusion.pool_quota(_lists(spark, rows), 3).collect()} == {"a": 2, "b": 1}
 
 
+def test_reranker_sees_the_passages_of_all_retrievers(spark, tmp_path):
+    spark.createDataFrame([("q", "card fees of the bank")], "id string, question string").write.parquet(str(tmp_path / "drafts_multihop.parquet"))
+    spark.createDataFrame([("c1", "the bank"), ("c2", "card fees of the bank")], "chunk_id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    hits = [("q", "rerank", "c1", 1), ("q", "bm25", "c1", 1), ("q", "bm25", "c2", 2)]
+    spark.createDataFrame(hits, "query_id string, retriever string, chunk_id string, rank int").write.parquet(str(tmp_path / "hits.parquet"))
+    assert plans.windowed_max_score(spark, str(tmp_path)).count() == 2
+    assert [r["chunk_id"] for r in plans.rerank_topk(spark, str(tmp_path)).orderBy("rank").collect()] == ["c2", "c1"]
+
+
 def test_logged_ranks_become_places(spark):
     hits = spark.createDataFrame([("q", "a", "x", 0), ("q", "a", "y", 1), ("q", "a", "y", 1), ("q", "a", "w", None), (None, "a", "v", 1)], "query_id string, retriever string, chunk_id string, rank int")
     assert [(r["chunk_id"], r["pos"]) for r in fusion.ranked_lists(hits).orderBy("pos").collect()] == [("x", 1), ("y", 2), ("w", 3)]
