@@ -16,17 +16,17 @@ def drop_reason(text: Column, date: Column, least_chars: int = 200) -> Column:
     return F.when(text.isNull() | (F.length(text) < least_chars), "too_short").when(~F.coalesce(date.rlike(DATE), F.lit(False)), "bad_date")
 
 
-def ordered_dedupe(rows: DataFrame, seq: str, keys: tuple[str, str] = ("key", "fp"), most_rounds: int = 100) -> DataFrame:
+def ordered_dedupe(rows: DataFrame, seq: str, keys: tuple[str, str] = ("key", "fp")) -> DataFrame:
     """seq, reason (null: kept, duplicate_key or duplicate_text) as reading the rows in order of seq would give.
 
     A row is dropped if a kept row before it has its key, or else its text; dropped rows register
     neither. Rounds: keep the rows that come first in both their groups, drop those that share a
-    group with a kept row, and go on with the rest; each round only groups and joins by key. seq is unique.
+    group with a kept row, and go on with the rest; each round only groups and joins by key, until none is left. seq is unique, keys aren't null.
     """
     k, f = keys
     left = checkpointed(rows.select(seq, k, f))
     kept = None
-    for _ in range(most_rounds):
+    while True:  # the first row left is kept in each round, so `left` shrinks
         first_k = left.groupBy(k).agg(F.min(seq).alias("_k"))
         first_f = left.groupBy(f).agg(F.min(seq).alias("_f"))
         now = left.join(first_k, k).join(first_f, f).where((F.col(seq) == F.col("_k")) & (F.col(seq) == F.col("_f"))).select(seq, k, f)
@@ -35,6 +35,8 @@ def ordered_dedupe(rows: DataFrame, seq: str, keys: tuple[str, str] = ("key", "f
         left = checkpointed(left.join(now.select(k), k, "left_anti").join(now.select(f), f, "left_anti"))
         if left.isEmpty():
             break
+        if now.isEmpty():
+            raise ValueError("rows with a null key or text can't be ordered")
     by_key = kept.select(k, F.col(seq).alias("_by_key"))
     by_fp = kept.select(f, F.col(seq).alias("_by_fp"))
     out = rows.select(seq, k, f).join(by_key, k, "left").join(by_fp, f, "left")

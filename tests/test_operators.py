@@ -224,6 +224,13 @@ def test_ordered_dedupe_is_sequential(spark):
     assert normalise.ordered_dedupe(df.limit(0), "seq").count() == 0
 
 
+def test_ordered_dedupe_goes_on_until_nothing_is_left(spark, monkeypatch):
+    monkeypatch.setattr(normalise, "checkpointed", lambda df: spark.createDataFrame(df.collect(), df.schema))  # short lineage for many rounds
+    rows = [(i, f"k{i // 2}", f"f{(i + 1) // 2}") for i in range(206)]  # each row shares its key or its text with the next
+    got = {r["seq"]: r["reason"] for r in normalise.ordered_dedupe(spark.createDataFrame(rows, "seq long, key string, fp string").coalesce(1), "seq").collect()}
+    assert got == {i: None if i % 2 == 0 else "duplicate_key" for i in range(206)}
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([("x" * 200, "2024-01-01"), ("x", "bad"), ("x" * 200, "2024-1-1"), (None, None), ("x" * 200, None)], "t string, d string")
     assert [r[0] for r in df.select(normalise.drop_reason(F.col("t"), F.col("d"))).collect()] == [None, "too_short", "bad_date", "too_short", "bad_date"]
