@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +18,24 @@ def sentence_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return s.withColumn("cost", word_count(F.col("sentence")))
 
 
-def pack(costs: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
-    """Runs of sentences within the budget, each but the first stepping back as far as the overlap allows."""
-    out, start = [], 0
-    while start < len(costs):
-        end, total = start, 0
-        while end < len(costs) and (total + costs[end] <= budget or end == start):
-            total += costs[end]
-            end += 1
-        out.append((start, end))
-        if end == len(costs):
-            break
-        carried, start_next = 0, end
-        while start_next - 1 > start and carried + costs[start_next - 1] <= overlap:
-            start_next -= 1
-            carried += costs[start_next]
-        start = start_next
-    return out
+def pack(costs: Sequence[int], budget: int, overlap: int = 0, breaks: Iterable[int] = ()) -> list[tuple[int, int]]:
+    """Runs (start, end) of sentences: each costs at most the budget (a lone sentence may cost more) and crosses no break, and shares with the one before it the most whole sentences that cost at most the overlap.
+
+    With c[i] the cost of the first i sentences, the run from a ends at the greatest e with c[e] <= c[a] + budget, and the
+    next starts at the least s with c[s] >= c[e] - overlap: two searches in c give both for every a at once.
+    """
+    n = len(costs)
+    c = np.concatenate(([0], np.cumsum(np.asarray(costs, np.int64))))
+    after = np.arange(1, n + 1)
+    bounds = np.unique([*(b for b in breaks if 0 < b < n), n])
+    ends = np.maximum(np.searchsorted(c, c[:-1] + budget, side="right") - 1, after)
+    ends = np.minimum(ends, bounds[np.searchsorted(bounds, after)])
+    nexts = np.maximum(np.searchsorted(c, c[ends] - overlap), after)
+    runs, at = [], 0
+    while at < n:
+        runs.append((at, int(ends[at])))
+        at = n if ends[at] == n else int(nexts[at])
+    return runs
 
 
 def fixed_chunks(docs: DataFrame, budget: int = 800, overlap: int = 120, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,20 +45,24 @@ def fixed_chunks(docs: DataFrame, budget: int = 800, overlap: int = 120, doc_id:
     own row: nothing is shuffled. A document that fails gives one row with its error. Null texts give no rows.
     """
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s"))
-    rows = rows.withColumn("c", F.transform("s", word_count))
+    rows = rows.withColumn("c", F.transform("s", word_count)).withColumn("breaks", F.array().cast("array<int>"))
+    return _packed(rows, budget, overlap, dict(docs.dtypes)[doc_id])
+
+
+def _packed(rows: DataFrame, budget: int, overlap: int, kind: str) -> DataFrame:
+    """rows: doc_id, s, c (cost of each sentence), breaks."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, s, c in zip(pdf["doc_id"], pdf["s"], pdf["c"], strict=True):
+            for d, s, c, breaks in zip(pdf["doc_id"], pdf["s"], pdf["c"], pdf["breaks"], strict=True):
                 try:
-                    out += [(d, k, a, b, " ".join(s[a:b]), None) for k, (a, b) in enumerate(pack(list(c), budget, overlap))]
+                    out += [(d, k, a, b, " ".join(s[a:b]), None) for k, (a, b) in enumerate(pack(c, budget, overlap, breaks))]
                 except Exception as e:  # one document must not end the job
                     out.append((d, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "start", "end", "text", "error"])
 
-    kind = dict(docs.dtypes)[doc_id]
-    return rows.mapInPandas(fold, f"doc_id {kind}, chunk_no int, start int, end int, text string, error string")
+    return rows.select("doc_id", "s", "c", "breaks").mapInPandas(fold, f"doc_id {kind}, chunk_no int, start int, end int, text string, error string")
 
 
 def sentence_distances(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,27 +98,9 @@ def semantic_breaks(docs: DataFrame, share: float = 0.9, doc_id: str = "doc_id",
     return d.withColumn("cut", F.when(F.size("s") >= 3, cut)).select("doc_id", "s", "c", F.when(F.col("cut").isNotNull(), at).otherwise(F.array().cast("array<int>")).alias("breaks"))
 
 
-def pack_at_breaks(costs: list[int], breaks: set[int], budget: int) -> list[tuple[int, int]]:
-    """Runs of sentences; a new one at each break, or where the budget would be exceeded."""
-    out, start, used = [], 0, 0
-    for i, c in enumerate(costs):
-        if i > start and (i in breaks or used + c > budget):
-            out.append((start, i))
-            start, used = i, 0
-        used += c
-    return [*out, (start, len(costs))] if costs else []
-
-
 def semantic_chunks(docs: DataFrame, budget: int = 800, share: float = 0.9, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, chunk_no, start, end, text: sentences packed between the semantic breaks. Folded within each document's row; nothing is shuffled."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(d, k, a, b, " ".join(s[a:b])) for d, s, c, at in zip(pdf["doc_id"], pdf["s"], pdf["c"], pdf["breaks"], strict=True) for k, (a, b) in enumerate(pack_at_breaks(list(c), set(at), budget))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "start", "end", "text"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    return semantic_breaks(docs, share, doc_id, text).mapInPandas(fold, f"doc_id {kind}, chunk_no int, start int, end int, text string")
+    """doc_id, chunk_no, start, end, text, error: sentences packed between the semantic breaks, as fixed_chunks without overlap."""
+    return _packed(semantic_breaks(docs, share, doc_id, text), budget, 0, dict(docs.dtypes)[doc_id])
 
 
 def sentence_windows(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,6 +110,26 @@ def sentence_windows(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", te
     return each.select("doc_id", "i", "text", F.greatest(F.col("i") - width, F.lit(0)).alias("window_start"), F.least(F.col("i") + width + 1, F.col("n")).alias("window_end"))
 
 
+def chunk_documents(docs: DataFrame, strategy: str, **options: object) -> DataFrame:
+    """doc_id, chunk_no, text, window_start, window_end, error by the named strategy: fixed, semantic or sentence_window.
+
+    A document that fails gives one row with its error (see failed_documents); an unknown strategy raises.
+    """
+    cut = {"fixed": fixed_chunks, "semantic": semantic_chunks, "sentence_window": sentence_windows}.get(strategy)
+    if cut is None:
+        raise ValueError(f"unknown chunking strategy: {strategy}")
+    out = cut(docs, **options)
+    none = F.lit(None).cast("int")
+    if strategy == "sentence_window":
+        return out.select("doc_id", F.col("i").alias("chunk_no"), "text", "window_start", "window_end", F.lit(None).cast("string").alias("error"))
+    return out.select("doc_id", "chunk_no", "text", none.alias("window_start"), none.alias("window_end"), "error")
+
+
+def failed_documents(chunks: DataFrame) -> DataFrame:
+    """error, documents: how many documents each error cost."""
+    return chunks.where("error is not null").groupBy("error").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def expand_windows(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """hits (chunk_id, ...) with text widened to the sentences of the window, keyed by document and section; others as they stand.
 

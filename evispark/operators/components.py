@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from evispark.session import checkpointed
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of it) of all nodes in edges (src, dst).
 
-    Alternating large-star and small-star rounds: each round joins nothing, it only groups
-    by node with a min, so a hot node costs one pre-aggregated key. Self loops keep a
-    node; null ends are dropped. No edges give no rows.
+    Alternating large-star and small-star rounds, until one changes nothing. A star is a min by node,
+    combined before its shuffle, joined back to the edges by node; the edges of a hub are many rows of one
+    key on one side of that join, which adaptive execution splits into several tasks (spark.sql.adaptive.skewJoin).
+    Self loops keep a node; null ends are dropped. No edges give no rows.
     """
     e = edges.where("src is not null and dst is not null").select("src", "dst")
     pairs = checkpointed(e.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         # large star: neighbours greater than a node are linked to its least neighbour
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

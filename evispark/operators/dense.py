@@ -27,7 +27,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
 
         def score(batches: Iterator[pd.DataFrame], ids: list = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
+                if not len(pdf) or not ids:
                     continue
                 m = np.stack(pdf[embedding].to_numpy()).astype(np.float64) @ matrix.T
                 vec = pdf[vec_id].to_numpy()
@@ -62,7 +62,7 @@ def _passes(rows: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
             ids, vecs = [], []
         ids.append(i)
         vecs.append(v)
-    yield ids, np.array(vecs, np.float64).reshape(len(ids), -1)
+    yield ids, np.array(vecs, np.float64)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, where: Column | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_pack(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.semantic_chunks(table(spark, d, "documents"), 80)
+    return chunking.semantic_chunks(table(spark, d, "documents"), 80).select("doc_id", "chunk_no", "start", "end", "text")
 
 
 def chunk_size_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -27,11 +27,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); set an own one only where it is unset."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Use the cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local session gets an own one; a cluster, whose tasks can't share this machine's folders, an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
         return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evispark-checkpoint-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        sc.setCheckpointDir(shared)
+    elif is_local(sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="evispark-checkpoint-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def is_local(master: str) -> bool:
+    """Driver and tasks run in one process."""
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -44,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, unless their path holds it already."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
     on_path = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    beside = sc.master.startswith("local") and not sc.master.startswith("local-cluster") and Path.cwd() == root
+    beside = is_local(sc.master) and Path.cwd() == root
     if on_path or beside or getattr(sc, "_evispark_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="evispark-package-")) / "evispark.zip"

@@ -40,6 +40,7 @@ def test_dense_topk_equals_numpy_and_filter_keeps_k(spark):
         assert own == pytest.approx(sorted(v @ v[i], reverse=True)[:10], abs=1e-5)
     assert dense.dense_topk(q, df, 10, F.col("label") == 2).groupBy("query_id").count().where("count = 10").count() == 3
     assert dense.dense_topk(q, df.limit(0), 10).count() == 0
+    assert dense.dense_topk(q.limit(0), df, 10).count() == 0
 
 
 def test_dense_ties_go_by_vec_id_within_a_batch(spark):
@@ -183,7 +184,18 @@ def test_packing_steps_back_for_the_overlap():
     assert chunking.pack([10, 10, 10, 10], 20, 10) == [(0, 2), (1, 3), (2, 4)]
     assert chunking.pack([50, 10], 20, 5) == [(0, 1), (1, 2)]
     assert chunking.pack([], 20, 5) == []
-    assert chunking.pack_at_breaks([10, 10, 10], {1}, 15) == [(0, 1), (1, 2), (2, 3)]
+    assert chunking.pack([10, 10, 10], 15, 0, {1}) == [(0, 1), (1, 2), (2, 3)]
+    assert chunking.pack([5, 5, 5, 5], 100, 0, {3, 9}) == [(0, 3), (3, 4)]
+
+
+def test_strategies_are_named_and_failures_counted(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "One two. Three four."), (2, "Five six.")], "doc_id long, text string")
+    assert chunking.chunk_documents(d, "fixed", budget=2, overlap=0).count() == 3
+    assert chunking.chunk_documents(d, "semantic", budget=2).count() == 3
+    assert chunking.chunk_documents(d, "sentence_window", width=1).where("window_end - window_start = 2").count() == 2
+    with pytest.raises(ValueError, match="unknown chunking"):
+        chunking.chunk_documents(d, "none")
+    assert chunking.failed_documents(chunking.chunk_documents(d, "fixed", budget=None, overlap=0)).first()["documents"] == 2
 
 
 def test_chunkers_on_null_and_empty(spark):
