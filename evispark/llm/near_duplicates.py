@@ -9,8 +9,11 @@ is dropped if the sizes, the positions of the shared column or a 64-bit parity m
 the block's rows show that the overlap stays below that share. All three bounds are
 exact: no pair at or above t is lost. Pairs that pass are checked on whole texts.
 
-Column frequencies come from a fixed-size count sketch over all rows. They only order
-the columns, so an error there costs time, never a pair.
+Rows of very different sizes are cut into different numbers of blocks; a row enters every size
+class that holds a size between its own and its own divided by t, so it meets each row it can be
+alike to. Column frequencies come from a fixed-size count sketch over all rows. They order the
+columns, and a column of many entries is cut into blocks of rows, each pair of which is a
+product of its own; so an error there costs time, never a pair.
 """
 
 from __future__ import annotations
@@ -32,8 +35,16 @@ SKETCH_BITS = 21
 SLICES = 32
 #: Rows of at most FIRST_SIZE columns are cut into FIRST_BLOCKS blocks, FACTOR times longer ones into FACTOR times as many: a block's row then has about 13 to 40 columns, which suits 64 bits.
 FIRST_SIZE, FIRST_BLOCKS, FACTOR, CLASSES = 160, 4, 3, 9
-#: A task multiplies one of so many groups of blocks, or a share of its columns.
-BLOCK_GROUPS = 16
+#: A task multiplies one of so many groups of blocks, or a share of its columns; shares are made so that a task gets about TASK_ENTRIES entries.
+BLOCK_GROUPS, TASK_ENTRIES = 16, 4_000_000
+#: Of a column with more entries than this, each block of about as many rows is multiplied with each other block.
+HEAVY_ENTRIES = 30_000
+#: Greatest size and position in a block that an entry's byte holds; bounds aren't applied to larger blocks.
+LARGEST = 254
+#: Bits of a column's level, its logarithmic frequency.
+LEVEL_BITS = 6
+#: Members of a group that are paired in one block; of larger groups each pair of blocks is paired on its own.
+GROUP_BLOCK = 4096
 #: Most candidate links whose ids are broadcast to fetch the texts; of more they are joined by a shuffle.
 BROADCAST_LINKS = 200_000
 
@@ -62,8 +73,14 @@ def _with_uid(rows: DataFrame, keep: str) -> DataFrame:
     return rows.select(F.col(keep).cast("string"), "text").mapInArrow(add, f"{keep} string, uid long") if keep != "text" else rows.select(F.col("text").alias("t"), "text").mapInArrow(add, "text string, uid long")
 
 
-def _frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Level (0 to 31, logarithmic) of the summed frequency of each cell of columns, over all rows."""
+class _Sketch(NamedTuple):
+    level: np.ndarray  # of each cell
+    row_blocks: np.ndarray  # of a column, by level
+    entries: float  # of all rows
+
+
+def _frequency_sketch(rows: DataFrame, n: int) -> _Sketch:
+    """Level (0 to 63, logarithmic) of the summed frequency of each cell of columns, over all rows."""
     cells = 1 << SKETCH_BITS
     step = cells // SLICES
 
@@ -80,14 +97,18 @@ def _frequency_sketch(rows: DataFrame, n: int) -> np.ndarray:
         total = np.zeros(step)
         for cells_ in part["cells"]:
             total += np.exp2(np.frombuffer(cells_, np.uint8) / 16.0) - 1
-        level = np.minimum(31, np.round(1.5 * np.log2(1 + total))).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "cells": [level.tobytes()]})
+        level = np.minimum((1 << LEVEL_BITS) - 1, np.round(1.5 * np.log2(1 + total))).astype(np.uint8)
+        return pd.DataFrame({"slice": [key[0]], "cells": [level.tobytes()], "entries": [total.sum()]})
 
-    parts = rows.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary")
-    levels = np.zeros(cells, np.uint8)
+    parts = rows.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary, entries double")
+    levels, entries = np.zeros(cells, np.uint8), 0.0
     for r in parts.collect():  # SLICES rows of a fixed size
         levels[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["cells"], np.uint8)
-    return levels
+        entries += r["entries"]
+    # a cell holds entries of other columns too: only what stands out from the average cell is one column's
+    usual, most = entries / cells, np.exp2((np.arange(1 << LEVEL_BITS) + 0.5) / 1.5)
+    heavy = most > max(HEAVY_ENTRIES, 4 * usual)
+    return _Sketch(levels, np.where(heavy, np.ceil((most - usual) / HEAVY_ENTRIES), 1).astype(np.int64), entries)
 
 
 def _size_class(size: np.ndarray) -> np.ndarray:
@@ -106,23 +127,24 @@ class _Entries(NamedTuple):
     parity: np.ndarray
 
 
-def _block_entries(w: Words, n: int, t: float, levels: np.ndarray, splits: int) -> _Entries:
+def _block_entries(w: Words, uids: np.ndarray, n: int, t: float, sketch: _Sketch, splits: int) -> _Entries:
     """Of a batch's rows; splits: shares of a group's columns."""
+    turn = mix(uids.view(np.uint64)) >> np.uint64(20)  # by which rows fall into blocks
     doc, h = _grams(w, n)
     once = sorted_unique((doc << np.uint64(48)) | (h >> np.uint64(16)))
     sizes = np.bincount((once >> np.uint64(48)).astype(np.int64), minlength=len(w.counts))
     own, upper = _size_class(sizes), _size_class(np.ceil(sizes / t))
-    level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    level = sketch.level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     found: list[_Entries] = []
     heads = 0
     for k in range(CLASSES):
-        use = ((own == k) | (upper == k))[doc.astype(np.int64)]
+        use = ((own <= k) & (k <= upper))[doc.astype(np.int64)]
         if not use.any():
             continue
         g = mix(h[use] + np.uint64(k))
         block = ((g >> np.uint64(32)) * np.uint64(FIRST_BLOCKS * FACTOR**k)) >> np.uint64(32)
-        # order within a row: block, frequency, hash; 10 + 16 + 5 + 33 bits
-        key = sorted_unique((doc[use] << np.uint64(54)) | (block << np.uint64(38)) | (level[use] << np.uint64(33)) | (g & np.uint64((1 << 33) - 1)))
+        # order within a row: block, frequency, hash; 10 + 16 + 6 + 32 bits
+        key = sorted_unique((doc[use] << np.uint64(54)) | (block << np.uint64(38)) | (level[use] << np.uint64(32)) | (g & np.uint64((1 << 32) - 1)))
         part = key >> np.uint64(38)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         size = np.diff(np.append(first, len(key)))
@@ -134,7 +156,17 @@ def _block_entries(w: Words, n: int, t: float, levels: np.ndarray, splits: int)
         column = mix((key[take] & np.uint64((1 << 54) - 1)) + np.uint64(k << 54))
         group = ((part & np.uint64(0xFFFF)).astype(np.int64)[first] + FIRST_BLOCKS * (FACTOR**k - 1) // (FACTOR - 1)) % BLOCK_GROUPS
         share = (column >> np.uint64(32)).astype(np.int64) % splits
-        found.append(_Entries(column.astype(np.uint32), np.minimum(at, 255).astype(np.uint8), head + heads, group[head] * splits + share, (key[first] >> np.uint64(54)).astype(np.uint16), np.minimum(size, 255).astype(np.uint8), parity))
+        part, row = group[head] * splits + share, (key[first] >> np.uint64(54)).astype(np.uint16)
+        blocks = sketch.row_blocks[((key[take] >> np.uint64(32)) & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)]
+        if blocks.max(initial=1) > 1:
+            each = np.repeat(np.arange(len(head)), blocks)
+            head, at, column, part, blocks = head[each], at[each], column[each], part[each], blocks[each]
+            other = np.arange(len(each)) - np.searchsorted(each, each)
+            mine = (turn[row[head]] % blocks.astype(np.uint64)).astype(np.int64)
+            pair = mix(column + (np.minimum(mine, other) * blocks + np.maximum(mine, other)).astype(np.uint64))
+            column = np.where(blocks > 1, pair, column)
+            part = np.where(blocks > 1, (pair >> np.uint64(32)).astype(np.int64) % (BLOCK_GROUPS * splits), part)
+        found.append(_Entries(column.astype(np.uint32), np.minimum(at, LARGEST).astype(np.uint8), head + heads, part, row, np.minimum(size, LARGEST + 1).astype(np.uint8), parity))
         heads += len(first)
     return _joined(found)
 
@@ -145,7 +177,7 @@ def _joined(found: list[_Entries]) -> _Entries:
     return _Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-_HEAD = (("row", np.uint16), ("count", np.uint8), ("size", np.uint8), ("parity", np.uint64))
+_HEAD = (("row", np.uint16), ("count", np.uint32), ("size", np.uint8), ("parity", np.uint64))
 
 
 def _pack(uids: np.ndarray, e: _Entries) -> pa.RecordBatch:
@@ -186,6 +218,9 @@ def _multiply(gram: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarra
     cum = np.cumsum(rest)
     needs = np.ceil(t / (1 + t) * np.arange(512) - 1e-9).astype(np.int16)  # least overlap by the sum of two sizes
     left = size - at
+    large = size > LARGEST  # neither size nor position is known
+    left[large] = np.iinfo(left.dtype).max
+    free = bool(large.any())
     lo = 0
     while lo < len(gram):
         base = cum[lo - 1] if lo else 0
@@ -195,26 +230,29 @@ def _multiply(gram: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarra
             i = np.repeat(np.arange(lo, hi), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             need = needs[size[i] + size[j]]
+            if free:
+                need = np.where(large[i] | large[j], np.int16(0), need)
             ok = np.flatnonzero((left[i] >= need) & (left[j] >= need))
             i, j, need = i[ok], j[ok], need[ok]
             apart = np.bitwise_count(parity[i] ^ parity[j])
-            ok = np.flatnonzero(size[i] + size[j] - apart >= 2 * need)
+            ok = np.flatnonzero((size[i] + size[j] - apart >= 2 * need) | (need == 0))
             i, j = row[i[ok]], row[j[ok]]
             yield (np.minimum(i, j) << np.uint64(32)) | np.maximum(i, j)
         lo = hi
 
 
-def _candidates(rows: DataFrame, n: int, t: float, levels: np.ndarray, splits: int) -> DataFrame:
+def _candidates(rows: DataFrame, n: int, t: float, sketch: _Sketch, splits: int) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids: list[np.ndarray] = []
         held: list[_Entries] = []
         heads = rows_held = 0
         for w in _batches(batches):
-            e = _block_entries(w, n, t, levels, splits)
+            own = sequence_hash(w)
+            e = _block_entries(w, own, n, t, sketch, splits)
             held.append(e._replace(head=e.head + heads, row=e.row + np.uint16(rows_held)))
             heads += len(e.row)
             rows_held += len(w.counts)
-            uids.append(sequence_hash(w))
+            uids.append(own)
             if rows_held > 12_000:
                 yield _pack(np.concatenate(uids), _joined(held))
                 uids, held, heads, rows_held = [], [], 0, 0
@@ -260,9 +298,10 @@ def _grams_of(text: str, n: int) -> set[tuple[str, ...]]:
 
 def near_duplicate_links(rows: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
     """uid_a, uid_b, jaccard of the pairs of different word sequences that are alike; rows: id, text; members: id, uid."""
-    splits = max(1, min(4096, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 // BLOCK_GROUPS))
-    levels = _frequency_sketch(rows, n)
-    cand = checkpointed(_candidates(rows, n, threshold, levels, splits))
+    sketch = _frequency_sketch(rows, n)
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2, sketch.entries // TASK_ENTRIES
+    splits = max(1, int(max(wanted)) // BLOCK_GROUPS)
+    cand = checkpointed(_candidates(rows, n, threshold, sketch, splits))
     few = cand.count() <= BROADCAST_LINKS
     small = F.broadcast if few else lambda x: x
     uids = cand.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct()
@@ -316,23 +355,30 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str
     )
 
 
-def group_pairs(groups: DataFrame, most_copies: int | None = None) -> DataFrame:
-    """id_a < id_b of one group, all of them; their number grows with the square of the group.
+def labelled(groups: DataFrame) -> DataFrame:
+    """groups with group_id replaced by the least id of the group."""
+    least = groups.groupBy("group_id").agg(F.min("id").alias("label"))
+    return groups.join(least, "group_id").select("id", "uid", F.col("label").alias("group_id"), "n_links")
+
+
+def group_pairs(groups: DataFrame) -> DataFrame:
+    """id_a < id_b of one group, all of them, copies included; their number grows with the square of the group.
 
-    Only if most_copies is given: of more copies of one word sequence, each further copy is paired with the first only.
+    The members of a large group are cut into blocks, and each pair of blocks is a key of its own.
     """
-    ids = groups.select("id", "uid", "group_id")
-    if most_copies is None:
-        m = ids.withColumns({"first": F.col("id"), "expand": F.lit(True)})
-    else:
-        copies = ids.groupBy("uid").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("first"))
-        m = ids.join(copies, "uid").withColumn("expand", (F.col("copies") <= most_copies) | (F.col("id") == F.col("first")))
-    size = m.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
-    m = checkpointed(m.join(size, "group_id").select("id", "group_id", "first", "expand"))
-    full = m.where("expand")
-    a, b = full.select("group_id", F.col("id").alias("id_a")), full.select("group_id", F.col("id").alias("id_b"))
-    pairs = a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")
-    if most_copies is None:
-        return pairs.distinct()
-    star = m.where(~F.col("expand")).select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
-    return pairs.unionByName(star).distinct()
+    return _pairs(groups.select("id", "group_id").distinct())
+
+
+def representative_pairs(groups: DataFrame) -> DataFrame:
+    """id_a < id_b of one group, between the least ids of its different word sequences; with the membership (id, uid) no link is lost."""
+    return _pairs(groups.groupBy("group_id", "uid").agg(F.min("id").alias("id")).select("id", "group_id").distinct())
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    size = members.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
+    m = checkpointed(members.join(size, "group_id").select("id", "group_id", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    a = m.select("group_id", F.col("own").alias("low"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("high"), F.col("id").alias("x"))
+    b = m.select("group_id", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("low"), F.col("own").alias("high"), F.col("id").alias("y"))
+    met = a.join(b, ["group_id", "low", "high"]).where((F.col("low") < F.col("high")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

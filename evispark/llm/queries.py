@@ -27,7 +27,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     g = nd.near_duplicate_groups(_t(spark, d, "chunks"), n=3, threshold=0.6, min_words=60)
-    return g.select(F.col("id").alias("chunk_id"), "group_id", "n_links")
+    return nd.labelled(g).select(F.col("id").alias("chunk_id"), "group_id", "n_links")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +140,19 @@ r AS (SELECT DISTINCT t AS x, t AS y FROM d UNION SELECT r.x, v.y FROM r JOIN v
 c AS (SELECT x AS t, MIN(y) AS grp FROM r GROUP BY x),
 m AS (SELECT DISTINCT chunk_id, grp FROM d JOIN c USING (t))
 SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM m a JOIN m b ON a.grp = b.grp AND a.chunk_id < b.chunk_id""",
+        "p1_groups": """
+WITH RECURSIVE w AS (SELECT DISTINCT chunk_id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9]+') AS w FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+d AS (SELECT DISTINCT chunk_id, MD5(ARRAY_TO_STRING(w, ' ')) AS t, w FROM w WHERE LEN(w) >= 60),
+g AS (SELECT DISTINCT t, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT t, w, UNNEST(RANGE(1, LEN(w) - 1)) AS i FROM (SELECT t, ANY_VALUE(w) AS w FROM d GROUP BY t))),
+s AS (SELECT t, COUNT(*) AS n FROM g GROUP BY t),
+p AS (SELECT a.t AS a, b.t AS b, COUNT(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.t < b.t GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN s x ON x.t = a JOIN s y ON y.t = b WHERE c >= CAST(0.6 AS DOUBLE) * (x.n + y.n - c)),
+v AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+k AS (SELECT x AS t, COUNT(*) AS n_links FROM v GROUP BY 1),
+r AS (SELECT DISTINCT t AS x, t AS y FROM d UNION SELECT r.x, v.y FROM r JOIN v ON r.y = v.x),
+c AS (SELECT x AS t, MIN(y) AS grp FROM r GROUP BY x),
+l AS (SELECT grp, MIN(chunk_id) AS group_id FROM d JOIN c USING (t) GROUP BY grp)
+SELECT chunk_id, group_id, COALESCE(n_links, 0) AS n_links FROM d JOIN c USING (t) JOIN l USING (grp) LEFT JOIN k ON k.t = d.t""",
         "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE LENGTH(text) > 2400 AND chunk_id IS NOT NULL",
         "p3_found": """
 WITH h AS (SELECT query_id, retriever, chunk_id, MAX(CASE WHEN better = 'lower' THEN -score ELSE score END) AS s FROM hits LEFT JOIN score_kinds USING (retriever)
