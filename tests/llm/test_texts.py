@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -189,9 +190,57 @@ def test_the_last_logged_row_counts(spark):
 
 def test_crf_learns_a_chain():
     lang = bp.Languages(FUNCTION)
-    x = bp.features("What was it?", ["It rose in 2020.", "It fell by 5% and the"], lang)
-    m = bp.train([(x, [0, 4])] * 3, rounds=80)
-    assert bp.tag(x, m) == [0, 4]
+    parts = [["It rose in 2020.", "It fell by 5% and the"]] * 3 + [["It rose by 3%."]]
+    c = bp.measure(["What was it?"] * 4, parts, bp.Vocabulary(lang, bp.NO_LEXICON))
+    y, sizes = np.array([0, 4] * 3 + [0]), np.array([2, 2, 2, 1])
+    m = bp.train(c.x, y, sizes, rounds=80)
+    assert bp.tag(c.x, sizes, m).tolist() == y.tolist()
+
+
+@pytest.fixture(scope="module")
+def pair_model():
+    rng = random.Random(9)
+    lang = bp.Languages(FUNCTION)
+    names = ["Alder Bank", "Birch Trust", "Cedar Capital", "Dogwood Financial"]
+    sample = [(f"How did the income of {rng.choice(names)} in {2015 + k % 9} compare with that of {rng.choice(names)}?", f"The income rose to ${rng.randrange(100, 999)} million on the back of fees in the period. It was not to recover from the {k % 90} percent fall in deposits that was reported.") for k in range(300)]
+    return bp.fit(sample, lang), lang, [q for q, _ in sample]
+
+
+# none of these is among the phrases the lexicon starts from
+HELD_OUT = ("I'm afraid this falls outside what I can comment on.", "None of the retrieved pages says anything about it.", "I don't know the answer to that.", "There isn't enough context here for me to respond.", "Sorry, that is not something I can provide.", "My instructions prevent me from answering this.", "We are unable to determine this from the sources.", "The question cannot be answered with the data provided.")
+
+
+def test_declines_in_words_held_out_of_training(pair_model):
+    m, lang, asked = pair_model
+    got = bp.defects([asked[i] for i in range(len(HELD_OUT))], HELD_OUT, [False] * len(HELD_OUT), m, lang)
+    assert sum(d == "refusal" for d, _ in got) >= len(HELD_OUT) - 1, got
+    sound = ["No.", "Neither did.", "$5 million", "It was unable to renew 5 percent of the lines in 2020."]
+    assert [d for d, _ in bp.defects([asked[0]] * 4, sound, [None] * 4, m, lang)] == [None] * 4
+
+
+def test_chains_of_any_length_and_bracketed_answers(pair_model):
+    m, lang, asked = pair_model
+    long = " ".join(f"The income rose by {i} percent in the year." for i in range(60))
+    got = bp.defects([asked[0], asked[0], None, asked[1]], [long, long + " It fell in the quarter by the", "The income rose to $120 million in the period. It was up by 5 percent.", "[the 2023 figure, 12%]"], [None] * 4, m, lang)
+    assert [d for d, _ in got] == [None, "truncated", None, None]
+    assert len(got[0][1]) == 60
+    assert bp.is_empty("[insert answer here]") and bp.is_empty("[S1][S2]") and not bp.is_empty("[the 2023 figure, 12%]")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab ", max_size=30), st.lists(st.text("ab ", max_size=20), max_size=4)), max_size=5))
+def test_runs_over_arrays_equal_one_by_one(rows):
+    v = bp.Vocabulary(bp.Languages(FUNCTION), bp.NO_LEXICON)
+    parts = [[c for c in p if c.split()] for _, p in rows]
+    c = bp.measure([q for q, _ in rows], parts, v)
+    want = [bp._run(q.split(), x.split()) / len(x.split()) for (q, _), p in zip(rows, parts, strict=True) for x in p]
+    assert c.x[:, 1].tolist() == pytest.approx(want)
+
+
+def test_too_many_words_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(bp, "MOST_WORDS", 3)
+    with pytest.raises(ValueError, match="too many"):
+        bp.broken_pairs(_pairs(spark), spark.createDataFrame(FUNCTION, "lang string, word string"))
 
 
 def test_budgets_spread_what_is_missing():
