@@ -29,15 +29,15 @@ def score_percentiles(hits: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def leximin_vectors(percentiles: DataFrame) -> DataFrame:
-    """query_id, chunk_id, vector (percentiles ascending), n_first, n_retrievers.
+    """query_id, chunk_id, vector (percentiles ascending), n_retrievers.
 
     A usable retriever of the query that doesn't list the chunk counts as percentile 0.
     """
     percentiles = checkpointed(percentiles)
     lists = percentiles.select("query_id", "retriever").distinct().groupBy("query_id").agg(F.count("*").alias("n_retrievers"))
-    own = percentiles.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list("percentile")).alias("own"), F.count_if(F.col("percentile") == 1.0).alias("n_first"))  # at most a value for each retriever
+    own = percentiles.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list("percentile")).alias("own"))  # at most a value for each retriever
     pad = F.array_repeat(F.lit(0.0), (F.col("n_retrievers") - F.size("own")).cast("int"))
-    return own.join(lists, "query_id").select("query_id", "chunk_id", F.concat(pad, "own").alias("vector"), "n_first", "n_retrievers")
+    return own.join(lists, "query_id").select("query_id", "chunk_id", F.concat(pad, "own").alias("vector"), "n_retrievers")
 
 
 def leximin_ranking(hits: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -48,3 +48,11 @@ def leximin_ranking(hits: DataFrame, kinds: DataFrame) -> DataFrame:
     v = leximin_vectors(score_percentiles(hits, kinds))
     ranked = running_sum(v, ["query_id"], [F.col("vector").desc(), F.col("chunk_id")], F.lit(1), "ahead")
     return ranked.withColumn("rank", (F.col("ahead") + 1).cast("long")).drop("ahead")
+
+
+def majority_first(ranked: DataFrame) -> DataFrame:
+    """The rows of a leximin ranking whose chunk is the one best in more than half of the query's retrievers.
+
+    Its ascending vector tells: the percentile in the middle, and so all behind it, is 1.
+    """
+    return ranked.where(F.element_at("vector", F.ceil(F.col("n_retrievers") / 2).cast("int")) == 1.0)

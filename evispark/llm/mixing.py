@@ -4,7 +4,10 @@ Each document gets a rate w = min(max_repeats, exp(lambda * tokens / mean tokens
 rates nearest to 1 in entropy whose tokens meet the source's constraint. The lambdas solve
 a convex dual by damped Newton steps; each step's sums are one aggregate over the
 (source, tokens) counts of all documents, so nothing but a few numbers for each target
-reaches the driver. Rates are then rounded into whole copies by systematic sampling.
+reaches the driver. Rates are then rounded into whole copies by systematic sampling over the
+documents in the order of their sizes, so that neighbours in the order, which are of about the same
+size, round up and down in turn and the tokens come out as the rates want them, not just the copies. What the
+rounding leaves over is settled by single copies of the documents that fit it best.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +74,8 @@ def token_budgets(targets: list[tuple[str, float, int, int]], total: float) -> d
     return out
 
 
-def balancing_rates(counts: DataFrame, budgets: dict[str, float], repeats: dict[str, int], tolerance: float = 1e-7, most_steps: int = 60) -> dict[str, tuple[float, float]]:
-    """(lambda, mean tokens) of each source with a budget below what max_repeats gives; counts: source, tokens, n."""
+def balancing_rates(counts: DataFrame, budgets: dict[str, float], repeats: dict[str, int], tolerance: float = 1e-7, most_steps: int = 200) -> dict[str, tuple[float, float]]:
+    """(lambda, mean tokens) of each source with a budget below what max_repeats gives; counts: source, tokens, n. Raises where most_steps don't suffice."""
     spark = counts.sparkSession
     stats = {r["source"]: (r["docs"], r["tokens"]) for r in counts.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("tokens")).alias("tokens")).collect()}
     live = {s: b for s, b in budgets.items() if s in stats and 0 < b < repeats[s] * stats[s][1] * (1 - 1e-12)}
@@ -99,6 +102,8 @@ def balancing_rates(counts: DataFrame, budgets: dict[str, float], repeats: dict[
             step = lam[s] - gap / r["h"] if r["h"] > 0 else np.nan
             # a Newton step that leaves the bracket of the convex dual is replaced by its middle
             lam[s] = float(step) if lo < step < hi else (lo + hi) / 2
+    if todo:
+        raise ValueError(f"rates of {sorted(todo)} didn't converge")
     return {s: (lam[s], mean[s]) for s in live}
 
 
@@ -125,10 +130,51 @@ def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None =
     rows = [(s, *solved[s], float(repeats[s])) if s in solved else (s, None, 1.0, float(repeats[s]) if budgets[s] > 0 else 0.0) for s in sorted(goal)]
     tilt = docs.sparkSession.createDataFrame(rows, kind)
     rate = F.when(F.col("lam").isNull(), F.col("most")).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("tokens") / F.col("mean"), F.lit(700.0))), F.col("most")))
-    rated = counted.join(F.broadcast(tilt), "source").select("doc_id", "source", "tokens", rate.alias("rate")).withColumn("_at", F.xxhash64("doc_id", F.lit(seed)))
-    run = running_sum(rated, ["source"], [F.col("_at"), F.col("doc_id")], F.col("rate"), "_before")
+    rated = counted.join(F.broadcast(tilt), "source").select("doc_id", "source", "tokens", rate.alias("rate"), F.col("most").cast("int").alias("_most")).withColumn("_at", F.xxhash64("doc_id", F.lit(seed)))
+    run = running_sum(rated, ["source"], [F.col("tokens"), F.col("_at"), F.col("doc_id")], F.col("rate"), "_before")
     copies = (F.floor(F.col("_before") + F.col("rate") + 0.5) - F.floor(F.col("_before") + 0.5)).cast("int")
-    return run.select("doc_id", "source", "tokens", "rate", copies.alias("copies"))
+    rounded = checkpointed(run.select("doc_id", "source", "tokens", "rate", "_most", "_at", F.least(copies, "_most").alias("copies")))
+    return _settled(rounded, {s: budgets[s] for s in solved}).select("doc_id", "source", "tokens", "rate", "copies")
+
+
+def _settled(rounded: DataFrame, budgets: dict[str, float]) -> DataFrame:
+    """rounded with a few copies more or fewer, so that each source's tokens end nearest to its budget.
+
+    In each round a source that is off by more than half its smallest usable document takes one copy of the largest
+    document that isn't larger than what is missing, or gives one back; the gap at least halves in most rounds.
+    """
+    used = {r["source"]: r["used"] for r in rounded.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used")).collect()}
+    gap = {s: b - used[s] for s, b in budgets.items() if s in used}
+    changed: dict[tuple[str, int], int] = {}
+    spark = rounded.sparkSession
+    # how many documents of each size can take or give a copy; the sizes are far fewer than the documents
+    sizes = checkpointed(rounded.groupBy("source", "tokens").agg(F.sum((F.col("copies") < F.col("_most")).cast("long")).alias("up"), F.sum((F.col("copies") > 0).cast("long")).alias("down")))
+    open_ = {s for s, g in gap.items() if abs(g) >= 1}
+    while open_:
+        want = spark.createDataFrame([(s, float(gap[s])) for s in sorted(open_)], "source string, gap double")
+        taken = spark.createDataFrame([(s, n, c) for (s, n), c in changed.items()] or [("", -1, 0)], "source string, tokens long, used long")
+        near = sizes.join(F.broadcast(want), "source").join(F.broadcast(taken), ["source", "tokens"], "left")  # a row for each open source and each change made
+        free = F.when(F.col("gap") > 0, F.col("up") - F.coalesce("used", F.lit(0))).otherwise(F.col("down") + F.coalesce("used", F.lit(0)))
+        fit = near.where((free > 0) & (F.abs(F.abs("gap") - F.col("tokens")) < F.abs("gap")))
+        best = {r["source"]: r["tokens"] for r in fit.groupBy("source").agg(F.min_by("tokens", F.struct(F.abs(F.abs("gap") - F.col("tokens")), "tokens")).alias("tokens")).collect()}
+        for s in list(open_):
+            if s not in best:
+                open_.discard(s)
+                continue
+            way = 1 if gap[s] > 0 else -1
+            changed[s, best[s]] = changed.get((s, best[s]), 0) + way
+            gap[s] -= way * best[s]
+            if abs(gap[s]) < 1:
+                open_.discard(s)
+    if not changed:
+        return rounded
+    moves = spark.createDataFrame([(s, n, c) for (s, n), c in changed.items() if c] or [("", -1, 0)], "source string, tokens long, _move long")
+    able = rounded.join(F.broadcast(moves), ["source", "tokens"]).where(F.when(F.col("_move") > 0, F.col("copies") < F.col("_most")).otherwise(F.col("copies") > 0))
+    # the first by hash among the documents of one size, cut to the most that move in any before the shuffle
+    place = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("_at", "doc_id"))
+    chosen = able.withColumn("_rn", place).where(F.col("_rn") <= max(map(abs, changed.values()))).where(F.col("_rn") <= F.abs("_move"))
+    chosen = chosen.select("source", "tokens", "doc_id", F.signum("_move").cast("int").alias("_by"))
+    return rounded.join(F.broadcast(chosen), ["source", "tokens", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("_by", F.lit(0)))
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -48,8 +48,7 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    v = fr.leximin_vectors(fr.score_percentiles(_t(spark, d, "hits"), _t(spark, d, "score_kinds")))
-    return v.where("n_first * 2 > n_retrievers").select("query_id", "chunk_id")
+    return fr.majority_first(fr.leximin_ranking(_t(spark, d, "hits"), _t(spark, d, "score_kinds"))).select("query_id", "chunk_id")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +71,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return rl.repeated_lines(_t(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), F.col("line_no").cast("int")).distinct()
 
 
+def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return rl.block_report(rl.repeated_lines(_t(spark, d, "chunks")))
+
+
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     chunks = _t(spark, d, "chunks")
     return rl.without_repeated_lines(chunks, rl.repeated_lines(chunks))
@@ -82,9 +85,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    m = ss.checkpointed(ss.snippet_matches(_t(spark, d, "drafts_multihop"), _t(spark, d, "chunks")))
-    spans = ss.shared_words(m, ["draft_id", "span_no"], "l").select(F.lit("span").alias("kind"), F.concat_ws("#", "draft_id", "span_no").alias("record"), "n_partners", "shared_words", "words", "share")
-    return spans.unionByName(ss.shared_words(m, ["chunk_id"], "r").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("record"), "n_partners", "shared_words", "words", "share"))
+    drafts, chunks = _t(spark, d, "drafts_multihop"), _t(spark, d, "chunks")
+    m = ss.checkpointed(ss.snippet_matches(drafts, chunks))
+    return ss.share_report(ss.gold_snippets(drafts), chunks, m).select("kind", "record", "n_partners", "shared_words", "words", F.round("share", 6).alias("share"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +116,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pairs, p6_found, p6_clean, p7_found, p7_shares, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_stats)
+    found = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pairs, p6_found, p6_clean, p6_blocks, p7_found, p7_shares, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_stats)
     return {f.__name__: f for f in found}
 
 
@@ -190,6 +193,16 @@ b AS (SELECT DISTINCT chunk_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '[\s\x{0
 x AS (SELECT DISTINCT id, span_no, MD5(ARRAY_TO_STRING(w[i:i + 29], ' ')) AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - 28)) AS i FROM a)),
 y AS (SELECT DISTINCT chunk_id, MD5(ARRAY_TO_STRING(w[i:i + 29], ' ')) AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - 28)) AS i FROM b))
 SELECT DISTINCT id AS draft_id, CAST(span_no AS INTEGER) AS span_no, chunk_id FROM x JOIN y USING (g)""",
+        "p7_shares": r"""
+WITH s AS (SELECT DISTINCT id, i - 1 AS span_no, gold_spans[i].snippet AS t FROM (SELECT id, gold_spans, UNNEST(RANGE(1, LEN(gold_spans) + 1)) AS i FROM drafts_multihop) WHERE gold_spans[i].snippet IS NOT NULL AND id IS NOT NULL),
+a AS (SELECT 'span' AS kind, id || '#' || span_no AS record, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(t, '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+'), lambda x: x <> '') AS w FROM s),
+b AS (SELECT DISTINCT 'chunk' AS kind, chunk_id AS record, text AS t, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(text, '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+'), lambda x: x <> '') AS w FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+u AS (SELECT kind, record, w, ROW_NUMBER() OVER () AS k FROM (SELECT kind, record, w FROM a UNION ALL SELECT kind, record, w FROM b)),
+x AS MATERIALIZED (SELECT kind, record, k, i, MD5(ARRAY_TO_STRING(w[i:i + 29], ' ')) AS g FROM (SELECT *, UNNEST(RANGE(1, LEN(w) - 28)) AS i FROM u)),
+m AS MATERIALIZED (SELECT x.kind, x.k, x.i, y.record AS other FROM x JOIN x y ON x.g = y.g AND x.kind <> y.kind),
+p AS (SELECT k, COUNT(DISTINCT other) AS n_partners FROM m GROUP BY k),
+c AS (SELECT k, COUNT(DISTINCT pos) AS shared_words FROM (SELECT DISTINCT k, UNNEST(RANGE(i, i + 30)) AS pos FROM (SELECT DISTINCT k, i FROM m)) GROUP BY k)
+SELECT kind, record, COALESCE(n_partners, 0) AS n_partners, COALESCE(shared_words, 0) AS shared_words, CAST(LEN(w) AS INTEGER) AS words, CASE WHEN LEN(w) > 0 THEN ROUND(COALESCE(shared_words, 0) / LEN(w), 6) END AS share FROM u LEFT JOIN p USING (k) LEFT JOIN c USING (k)""",
         "p8_found": """
 WITH a AS (SELECT item_id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
 b AS (SELECT doc_id, REGEXP_EXTRACT_ALL(LOWER(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),

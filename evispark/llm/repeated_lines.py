@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.components import connected_components
+from evispark.operators.once import once_each
 from evispark.session import checkpointed
 
 #: Most nodes that are broadcast to mark their occurrences; more are joined by a shuffle.
@@ -27,14 +28,17 @@ def line_occurrences(df: DataFrame, min_chars: int = 20, max_chars: int = 200) -
 
 
 def boilerplate_blocks(occurrences: DataFrame, min_docs: int = 6) -> DataFrame:
-    """node, docs, block: lines standing in at least min_docs documents of a site; consecutive ones, joined by edges as well supported, form a block."""
+    """node, docs, block: the connected parts of the graph of lines standing in at least min_docs documents of a site.
+
+    Edges join consecutive lines that follow each other in as many documents; a line without any is a block of its own.
+    """
     nodes = occurrences.select("doc", F.explode("lines.node").alias("node")).groupBy("node").agg(F.countDistinct("doc").alias("docs")).where(F.col("docs") >= min_docs)
     nodes = checkpointed(nodes)
     follow = F.transform(F.filter(F.zip_with("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull() & (p["b"]["no"] == p["a"]["no"] + 1)), lambda p: F.struct(p["a"]["node"].alias("src"), p["b"]["node"].alias("dst")))
     edges = occurrences.select("doc", F.explode(follow).alias("e")).select("doc", "e.src", "e.dst")
     edges = edges.groupBy("src", "dst").agg(F.countDistinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select("src", "dst")
-    blocks = connected_components(edges)
-    return nodes.join(blocks, "node", "left").select("node", "docs", F.coalesce("component", "node").alias("block"))
+    alone = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    return connected_components(edges.unionByName(alone)).join(nodes, "node").select("node", "docs", F.col("component").alias("block"))
 
 
 def repeated_lines(df: DataFrame, min_docs: int = 6, min_chars: int = 20, max_chars: int = 200) -> DataFrame:
@@ -54,7 +58,12 @@ def repeated_lines(df: DataFrame, min_docs: int = 6, min_chars: int = 20, max_ch
 def without_repeated_lines(df: DataFrame, found: DataFrame) -> DataFrame:
     """chunk_id, text without the found lines, n_removed: a row for each distinct (chunk_id, text); null texts stay null."""
     drop = found.groupBy("id", "uid").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))  # at most the lines of one text
-    rows = df.select("chunk_id", "text").distinct().withColumn("uid", F.xxhash64("text"))
+    rows = once_each(df.select("chunk_id", "text")).withColumn("uid", F.xxhash64("text"))
     joined = rows.join(drop, (rows["chunk_id"] == drop["id"]) & (rows["uid"] == drop["uid"]), "left").select("chunk_id", "text", "drop")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("drop", i + 1), F.lit(False))), "\n")
     return joined.select("chunk_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"))
+
+
+def block_report(found: DataFrame) -> DataFrame:
+    """block, lines (different places in the texts), texts, docs (of its most frequent line): what each block of standing lines covers."""
+    return found.groupBy("block").agg(F.count("*").alias("lines"), F.countDistinct("id", "uid").alias("texts"), F.max("docs").alias("docs"))

@@ -3,8 +3,8 @@
 With a difference cover D of period v, any two positions i and j have an offset below v that
 moves both onto D modulo v. So if only windows of w = L - v + 1 words that begin at cover
 positions are hashed, any common run of L words holds a window hashed on both sides.
-Anchors are joined by hash; each pair of records that shares one is then compared word
-by word, extending its anchors to maximal runs.
+Anchors are joined by hash; in each pair of records that shares one, the windows around shared
+anchors are extended into runs, and the runs compared to the letter.
 """
 
 from __future__ import annotations
@@ -14,17 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evispark.llm._words import by_size, sorted_unique, windows, words
+from evispark.llm._words import Words, by_size, sorted_unique, windows, words
 from evispark.session import checkpointed
 
 # Perfect difference sets by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
-#: Bits of the filter of the smaller side's anchors, a fixed size; if it fills, it only filters less.
-FILTER_BITS = 24
+#: Least and most address bits of the filter of the smaller side's anchors: it has about 16 bits for each anchor up to 32 MB; beyond, it only filters less.
+FILTER_BITS = (18, 28)
 SLICES = 32
 BROADCAST_IDS = 1_000_000
 #: An anchor of at least so many entries of the right side, and of a quarter of a task's share, is spread over several tasks; so there are at most four such anchors for each task.
@@ -50,11 +50,15 @@ def _anchors(texts: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[take], h[take]
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def _is_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
     rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
     for batch in by_size(rows, 1):
@@ -63,13 +67,17 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], lis
 
 
 def _anchor_filter(side: DataFrame, min_words: int) -> np.ndarray:
-    """Bits that are set for each anchor of side; of a fixed size."""
-    step = (1 << FILTER_BITS) // 8 // SLICES
+    """Bits, packed, that are set for each anchor of side."""
+    period, cover, _ = cover_of(min_words)
+    letters = side.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    wanted = 16 * (letters / 6) * len(cover) / period
+    bits_ = min(max(int(np.ceil(np.log2(max(wanted, 2)))), FILTER_BITS[0]), FILTER_BITS[1])
+    step = (1 << bits_) // 8 // SLICES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << bits_, bool)
         for _, texts in _batches(batches):
-            for p in _places(_anchors(texts, min_words)[1]):
+            for p in _places(_anchors(texts, min_words)[1], bits_):
                 bits[p] = True
         if bits.any():
             packed = np.packbits(bits)
@@ -78,10 +86,10 @@ def _anchor_filter(side: DataFrame, min_words: int) -> np.ndarray:
     def either(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"slice": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in part["bits"]]).tobytes()]})
 
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in side.select("uid", "text").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():  # SLICES rows of a fixed size
+    out = np.zeros((1 << bits_) // 8, np.uint8)
+    for r in side.select("uid", "text").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():  # SLICES rows of at most 1 MB
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
 
 
 def _packed(side: DataFrame, which: int, min_words: int, parts: int, known: np.ndarray | None) -> DataFrame:
@@ -108,8 +116,8 @@ def _packed(side: DataFrame, which: int, min_words: int, parts: int, known: np.n
         for ids, texts in _batches(batches):
             doc, h = _anchors(texts, min_words)
             if known is not None:
-                a, b = _places(h)
-                hit = known[a] & known[b]
+                a, b = _places(h, len(known).bit_length() + 2)
+                hit = _is_set(known, a) & _is_set(known, b)
                 doc, h = doc[hit], h[hit]
             rows.append(doc + len(uids))
             hashes.append(h)
@@ -221,34 +229,78 @@ def _candidate_pairs(left: DataFrame, right: DataFrame, min_words: int) -> DataF
     return _spread(both, parts).groupBy("part").applyInPandas(meet, "uid_l long, uid_r long").distinct()
 
 
-def common_runs(a: list[str], b: list[str], min_words: int) -> list[tuple[int, int, int]]:
-    """Start in a, start in b and length of the maximal common runs of at least min_words words, found from anchors."""
-    period, cover, width = cover_of(min_words)
-    at: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(a) - width + 1):
-        if i % period in cover:
-            at.setdefault(tuple(a[i : i + width]), []).append(i)
-    done: dict[int, int] = {}
-    runs = []
-    for j in range(len(b) - width + 1):
-        if j % period not in cover:
+def _partners(ha: np.ndarray, hb: np.ndarray) -> np.ndarray:
+    """For each window of a the first window of b with the same hash, or -1."""
+    order = np.argsort(hb, kind="stable")
+    at = np.minimum(np.searchsorted(hb, ha, sorter=order), len(hb) - 1)
+    return np.where(hb[order[at]] == ha, order[at], -1)
+
+
+def _chained(ha: np.ndarray, hb: np.ndarray, skip: np.ndarray) -> list[tuple[int, int, int]]:
+    """Start in a, start in b and number of windows of runs that hold each window of a that b has too, but those to skip; a run goes on as long as it can."""
+    first = _partners(ha, hb)
+    runs: list[tuple[int, int, int]] = []
+    end = j = -1
+    for i in np.flatnonzero((first >= 0) & ~skip).tolist():
+        if i < end:
             continue
-        for i in at.get(tuple(b[j : j + width]), ()):
-            if done.get(i - j, -1) >= j + width:
-                continue
-            lo, hi = 0, width
-            while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
-                lo += 1
-            while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-                hi += 1
-            done[i - j] = j + hi
-            if lo + hi >= min_words:
-                runs.append((i - lo, j - lo, lo + hi))
+        j = int(first[i])
+        most = min(len(ha) - i, len(hb) - j)
+        # compare in growing stretches, so that a short run costs little
+        n, step = 1, 64
+        while n < most:
+            same = ha[i + n : i + min(n + step, most)] == hb[j + n : j + min(n + step, most)]
+            if not same.all():
+                n += int(same.argmin())
+                break
+            n += len(same)
+            step *= 2
+        runs.append((i, j, n))
+        end = i + n
     return runs
 
 
+def _anchored(at: np.ndarray, h: np.ndarray, other: np.ndarray, n: int, reach: int) -> np.ndarray:
+    """Windows (by their first word) that hold an anchor the other text has too; at, h: the text's anchors, n: its windows, reach: places an anchor may take in a window."""
+    hit = at[np.isin(h, other)]
+    edge = np.zeros(n + reach + 1, np.int64)
+    np.add.at(edge, np.maximum(hit - reach, 0), 1)
+    np.add.at(edge, hit + 1, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def common_runs(a: Words, b: Words, min_words: int) -> list[tuple[int, int, int]]:
+    """Start in a, start in b and length of common runs of at least min_words words of two texts, enough to hold each word that stands in any; time and number grow with the texts' lengths.
+
+    Only windows of min_words around shared anchors are extended, each with its first partner in the other text, as far as it goes.
+    """
+    period, cover, width = cover_of(min_words)
+    na, nb = len(a.hash) - min_words + 1, len(b.hash) - min_words + 1
+    if na < 1 or nb < 1:
+        return []
+    (at_a, ha), (at_b, hb) = ((at[np.isin(at % period, cover)], h[np.isin(at % period, cover)]) for at, h in (windows(x, width) for x in (a, b)))
+    open_a, open_b = _anchored(at_a, ha, hb, na, min_words - width), _anchored(at_b, hb, ha, nb, min_words - width)
+    if not open_a.any():
+        return []
+    (_, wa), (_, wb) = windows(a, min_words), windows(b, min_words)
+    runs = _chained(wa, wb, ~open_a)
+    # what stands more than once in b: the places that no run has reached yet
+    edge = np.zeros(nb + 1, np.int64)
+    for _, j, n in runs:
+        edge[j] += 1
+        edge[j + n] -= 1
+    runs += [(i, j, n) for j, i, n in _chained(wb, wa, (np.cumsum(edge)[:nb] > 0) | ~open_b)]
+    return [(i, j, n + min_words - 1) for i, j, n in runs]
+
+
+def _literal(a: str, b: str, runs: list[tuple[int, int, int]]) -> bool:
+    """The runs are equal to the letter."""
+    wa, wb = a.split(), b.split()
+    return all(wa[i : i + n] == wb[j : j + n] for i, j, n in runs)
+
+
 def shared_runs(left: DataFrame, right: DataFrame, min_words: int = 30) -> DataFrame:
-    """uid_l, uid_r, runs array<struct<l, r, n>>, words_l, words_r of each pair of texts that share min_words consecutive words.
+    """uid_l, uid_r, runs array<struct<l, r, n>>, words_l, words_r of each pair of texts that share min_words consecutive words; runs hold every shared word of both, see common_runs.
 
     left, right: uid long (64-bit hash of the text), text; the left side should be the smaller. Words are split at
     white space and equal to the letter. Null, empty and shorter texts match nothing; equal texts share a uid and come once.
@@ -263,17 +315,22 @@ def shared_runs(left: DataFrame, right: DataFrame, min_words: int = 30) -> DataF
         return own.groupBy("uid").agg(F.first("text").alias(f"text_{c}")).withColumnRenamed("uid", f"uid_{c}")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("uid_l", "uid_r", "runs", "words_l", "words_r")}
-            last, wl = None, []
-            for x, y, tx, ty in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if x != last:
-                    last, wl = x, tx.split()
-                wr = ty.split()
-                if runs := common_runs(wl, wr, min_words):
-                    for k, v in zip(out, (x, y, [{"l": i, "r": j, "n": n} for i, j, n in runs], len(wl), len(wr)), strict=True):
+        kind = pa.schema([("uid_l", pa.int64()), ("uid_r", pa.int64()), ("runs", pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))), ("words_l", pa.int32()), ("words_r", pa.int32())])
+        each = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+        for rows in by_size(each, 3):
+            out: dict[str, list] = {k: [] for k in kind.names}
+            known = list(dict.fromkeys(t for r in rows for t in r[2:]))
+            w = words(known, alnum=False)
+            end = np.cumsum(w.counts)
+            # a text's own part of the batch's words
+            own = {t: Words(np.zeros(n, np.int64), w.hash[e - n : e], np.array([n])) for t, e, n in zip(known, end.tolist(), w.counts.tolist(), strict=True)}
+            for x, y, tx, ty in rows:
+                runs = common_runs(own[tx], own[ty], min_words)
+                if runs and not _literal(tx, ty, runs):
+                    raise ValueError("two different words have one hash")
+                if runs:
+                    for k, v in zip(out, (x, y, [{"l": i, "r": j, "n": n} for i, j, n in runs], len(own[tx].hash), len(own[ty].hash)), strict=True):
                         out[k].append(v)
-            kind = pa.schema([("uid_l", pa.int64()), ("uid_r", pa.int64()), ("runs", pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())]))), ("words_l", pa.int32()), ("words_r", pa.int32())])
             yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     joined = pairs.join(texts(left, "l"), "uid_l").join(texts(right, "r"), "uid_r").select("uid_l", "uid_r", "text_l", "text_r")
@@ -291,18 +348,37 @@ def gold_snippets(drafts: DataFrame) -> DataFrame:
 
 
 def snippet_matches(drafts: DataFrame, chunks: DataFrame, min_words: int = 30) -> DataFrame:
-    """draft_id, span_no, chunk_id, runs, words_l, words_r: gold spans and chunks that share a run, a row for each pair of different texts."""
+    """draft_id, span_no, chunk_id, uid_l, uid_r, runs, words_l, words_r: gold spans and chunks that share a run, a row for each pair of different texts."""
     spans = gold_snippets(drafts)
     rows = chunks.where("text is not null and chunk_id is not null").select("chunk_id", F.xxhash64("text").alias("uid"), "text")
     runs = checkpointed(shared_runs(spans, rows, min_words))
     left = spans.select(F.col("uid").alias("uid_l"), "draft_id", "span_no").distinct()
     right = rows.select(F.col("uid").alias("uid_r"), "chunk_id").distinct()
-    return runs.join(left, "uid_l").join(right, "uid_r").select("draft_id", "span_no", "chunk_id", "runs", "words_l", "words_r")
+    return runs.join(left, "uid_l").join(right, "uid_r").select("draft_id", "span_no", "chunk_id", "uid_l", "uid_r", "runs", "words_l", "words_r")
 
 
 def shared_words(matches: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """keys, n_partners, shared_words, words, share: how many words of each record lie in some shared run. side: l or r."""
-    each = matches.select(*keys, F.col(f"words_{side}").alias("words"), F.explode("runs").alias("x")).select(*keys, "words", F.explode(F.sequence(F.col(f"x.{side}"), F.col(f"x.{side}") + F.col("x.n") - 1)).alias("at"))
-    covered = each.groupBy(*keys, "words").agg(F.countDistinct("at").alias("shared_words"))
-    partners = matches.groupBy(*keys, F.col(f"words_{side}").alias("words")).agg(F.count("*").alias("n_partners"))
-    return partners.join(covered, [*keys, "words"]).withColumn("share", F.col("shared_words") / F.col("words"))
+    """keys, n_partners, shared_words, words: how many words of each record lie in some shared run, each counted once. side: l or r; the record's text is told by uid.
+
+    The runs' intervals are made distinct and merged in the order of their starts; a record has at most as many as its words allow.
+    """
+    keys, other = [*keys, "uid"], ["chunk_id"] if side == "l" else ["draft_id", "span_no"]
+    m = matches.withColumn("uid", F.col(f"uid_{side}"))
+    each = m.select(*keys, F.explode("runs").alias("x")).select(*keys, F.col(f"x.{side}").alias("a"), (F.col(f"x.{side}") + F.col("x.n")).alias("b")).groupBy(*keys, "a").agg(F.max("b").alias("b"))
+    before = F.max("b").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    covered = each.withColumn("_to", F.coalesce(before, F.lit(0))).groupBy(*keys).agg(F.sum(F.greatest(F.col("b") - F.greatest("a", "_to"), F.lit(0))).alias("shared_words"))
+    return m.groupBy(*keys).agg(F.countDistinct(*other).alias("n_partners")).join(covered, keys)
+
+
+def share_report(spans: DataFrame, chunks: DataFrame, matches: DataFrame) -> DataFrame:
+    """kind (span or chunk), record, uid, n_partners, shared_words, words, share of every gold span and chunk with a text, 0 where nothing is shared; share is null without words.
+
+    spans: see gold_snippets; chunks: chunk_id, text; matches: see snippet_matches. A record with several texts has a row for each.
+    """
+    count = F.size(F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")).alias("words")
+    left = spans.select("draft_id", "span_no", "uid", count).join(shared_words(matches, ["draft_id", "span_no"], "l"), ["draft_id", "span_no", "uid"], "left").withColumn("record", F.concat_ws("#", "draft_id", "span_no")).withColumn("kind", F.lit("span"))
+    own = chunks.where("text is not null and chunk_id is not null").select("chunk_id", F.xxhash64("text").alias("uid"), count).distinct()
+    right = own.join(shared_words(matches, ["chunk_id"], "r"), ["chunk_id", "uid"], "left").withColumn("record", F.col("chunk_id")).withColumn("kind", F.lit("chunk"))
+    cols = ["kind", "record", "uid", F.coalesce("n_partners", F.lit(0)).alias("n_partners"), F.coalesce("shared_words", F.lit(0)).alias("shared_words"), "words"]
+    out = left.select(*cols).unionByName(right.select(*cols))
+    return out.withColumn("share", F.when(F.col("words") > 0, F.col("shared_words") / F.col("words")))

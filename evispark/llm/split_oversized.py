@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evispark.operators.once import once_each
+
 
 def boundary_strength(text: str) -> np.ndarray:
     """Strength of a cut before each position: 5 blank line, 4 line end, 3 sentence end, 2 clause end, 1 white space, 0 none, -1 inside a character with marks."""
@@ -45,38 +47,56 @@ def boundary_strength(text: str) -> np.ndarray:
 
 
 def piece_bounds(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Start and end of the pieces; each but the first starts `overlap` before the end of the one before it."""
+    """Start and end of the pieces, as few as limit and overlap allow.
+
+    Each but the first starts at the last word's beginning that is at least `overlap` before the end of the one before
+    it, if that is at most a quarter of the overlap further back; else exactly `overlap` before.
+    """
     n = len(text)
     if n <= limit:
         return [(0, n)]
     strength = boundary_strength(text)
     pieces = -(-(n - overlap) // (limit - overlap))
     while True:
-        step = (n - overlap) / pieces
-        reach = max(1, int(step / 4)) if pieces < n - overlap else 0
-        ends = []
-        for k in range(1, pieces):
-            target = round(overlap + k * step)
-            lo, hi = max(target - reach, overlap + 1, (ends[-1] + 1) if ends else 0), min(target + reach, n - 1)
-            if ends:
-                hi = min(hi, ends[-1] - overlap + limit)
-            else:
-                hi = min(hi, limit)
-            if lo > hi:
-                ends = []
-                break
-            at = np.arange(lo, hi + 1)
-            # strongest end; then a start at a word, then nearest to the target
-            start_ok = strength[at - overlap] > 0
-            best = np.lexsort((np.abs(at - target), ~start_ok, -strength[at]))[0]
-            ends.append(int(at[best]))
-        ends.append(n)
-        starts = [0, *(e - overlap for e in ends[:-1])]
-        if len(ends) == pieces and all(e - s <= limit for s, e in zip(starts, ends, strict=True)):
-            return list(zip(starts, ends, strict=True))
+        # with no slack for the starts the least number of pieces always fits
+        for slack in sorted({min(overlap // 4, (limit - overlap) // 2) >> k for k in range(8)} | {0}, reverse=True):
+            bounds = _placed(strength, n, pieces, limit, overlap, slack)
+            if bounds and all(b - a <= limit for a, b in bounds):
+                return bounds
         pieces += 1
 
 
+def _placed(strength: np.ndarray, n: int, pieces: int, limit: int, overlap: int, slack: int) -> list[tuple[int, int]] | None:
+    """Balanced targets, each snapped to the strongest boundary near it that leaves room for all pieces behind it."""
+    step = (n - overlap) / pieces
+    reach = int(step / 4)
+    bounds, start = [], 0
+    for k in range(1, pieces):
+        target = round(overlap + k * step)
+        # what is left must fit into the pieces behind, and this one into the limit
+        least = max(n - (pieces - k) * (limit - overlap - slack), start + overlap + slack + 1)
+        most = min(start + limit, n - 1)
+        if least > most:
+            return None
+        lo, hi = max(target - reach, least), min(target + reach, most)
+        if lo > hi:
+            lo = hi = least if target < least else most
+        at = np.arange(lo, hi + 1)
+        end = int(at[np.lexsort((np.abs(at - target), -strength[at]))[0]])
+        bounds.append((start, end))
+        start = _start(strength, end - overlap, slack)
+    return [*bounds, (start, n)]
+
+
+def _start(strength: np.ndarray, at: int, slack: int) -> int:
+    """The last beginning of a word from at - slack to at; else the last place there that isn't inside a character with marks; else at."""
+    near = strength[max(at - slack, 1) : at + 1]
+    for good in (near > 0, near >= 0):
+        if good.any():
+            return at - int(np.argmax(good[::-1]))
+    return at
+
+
 def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", section_col: str = "section", limit: int = 2400, overlap: int = 200) -> DataFrame:
     """id, piece_no (from 1), n_pieces, section, window_start, window_end, text: the pieces of each distinct (id, section, text).
 
@@ -87,7 +107,7 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(section_col).alias("section"), F.col(text_col).alias("text"))
+    rows = once_each(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(section_col).alias("section"), F.col(text_col).alias("text")))
     schema = "id string, piece_no int, n_pieces int, section string, window_start int, window_end int, text string"
     short = rows.where(F.length("text") <= limit).select(F.col("id").cast("string"), F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), "section", F.lit(0).alias("window_start"), F.length("text").alias("window_end"), "text")
 
@@ -100,4 +120,4 @@ def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
             yield pd.DataFrame(out, columns=["id", "piece_no", "n_pieces", "section", "window_start", "window_end", "text"])
 
     long = rows.where(F.length("text") > limit).withColumn("id", F.col("id").cast("string")).mapInPandas(cut, schema)
-    return short.unionByName(long).distinct()
+    return short.unionByName(long)

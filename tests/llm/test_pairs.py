@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -162,16 +163,44 @@ def test_hot_anchors_are_spread(spark, words_of, monkeypatch):
     assert {x["id"] for x in got.collect()} == {k for k in right if int(k[1:]) % 2}
 
 
+def _common(a, b, least):
+    return ss.common_runs(W.words([" ".join(a)], False), W.words([" ".join(b)], False), least)
+
+
+def test_runs_hold_every_shared_word():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("xyz") if rng.random() < 0.3 else f"w{i % 17}" for i in range(rng.randrange(120))] for _ in range(2))
+        least = rng.choice([4, 6, 9, 14])
+        runs = _common(a, b, least)
+        assert all(a[i : i + n] == b[j : j + n] and n >= least for i, j, n in runs)
+        both = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)} & {tuple(b[i : i + least]) for i in range(len(b) - least + 1)}
+        for text, side in ((a, 0), (b, 1)):
+            want = {p for i in range(len(text) - least + 1) if tuple(text[i : i + least]) in both for p in range(i, i + least)}
+            assert {p for r in runs for p in range(r[side], r[side] + r[2])} == want
+
+
+def test_a_text_of_one_repeated_word_ends():
+    began = time.process_time()
+    runs = _common(["x"] * 100_000, ["x"] * 70_000, 30)
+    assert len(runs) < 10 and time.process_time() - began < 5
+    _common([f"w{i % 50}" for i in range(100_000)], [f"w{i % 49}" for i in range(100_000)], 30)
+    assert time.process_time() - began < 10
+
+
 def test_maximal_runs_and_shares(spark):
     a = [f"w{i}" for i in range(40)]
-    assert ss.common_runs(["x", *a, "y"], ["q", *a[:39]], 30) == [(1, 1, 39)]
-    assert ss.common_runs(a, a, 41) == []
+    assert _common(["x", *a, "y"], ["q", *a[:39]], 30) == [(1, 1, 39)]
+    assert _common(a, a, 41) == []
     drafts = spark.createDataFrame([("q", [("d", " ".join(a)), (None, None)]), ("q", [("d", " ".join(a)), (None, None)]), ("z", None)], "id string, gold_spans array<struct<doc_id string, snippet string>>")
     chunks = spark.createDataFrame([("c", " ".join(["p", *a[:35]])), ("c", " ".join(["p", *a[:35]])), ("n", None)], "chunk_id string, text string")
     m = ss.snippet_matches(drafts, chunks)
     assert [(r["draft_id"], r["span_no"], r["chunk_id"]) for r in m.collect()] == [("q", 0, "c")]
     s = ss.shared_words(m, ["draft_id", "span_no"], "l").first()
-    assert (s["shared_words"], s["words"], s["n_partners"]) == (35, 40, 1)
+    assert (s["shared_words"], s["n_partners"]) == (35, 1)
+    drafts = drafts.unionByName(spark.createDataFrame([("y", [("d", "too short"), ("d", " ")])], drafts.schema))
+    got = {(r["kind"], r["record"]): (r["shared_words"], r["words"], r["n_partners"]) for r in ss.share_report(ss.gold_snippets(drafts), chunks.unionByName(spark.createDataFrame([("e", "")], chunks.schema)), m).collect()}
+    assert got == {("span", "q#0"): (35, 40, 1), ("span", "y#0"): (0, 2, 0), ("span", "y#1"): (0, 0, 0), ("chunk", "c"): (35, 36, 1), ("chunk", "e"): (0, 0, 0)}
     assert ss.snippet_matches(drafts.limit(0), chunks).count() == 0
 
 

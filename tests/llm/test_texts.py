@@ -22,8 +22,22 @@ from evispark.llm import text_quality as tq
 def test_pieces_round_trip(text, limit, overlap):
     bounds = so.piece_bounds(text, limit, overlap)
     assert all(b - a <= limit for a, b in bounds)
-    assert text[bounds[0][0] : bounds[0][1]] + "".join(text[a + overlap : b] for a, b in bounds[1:]) == text
-    assert all(x[1] - y[0] == overlap for x, y in zip(bounds, bounds[1:], strict=False))
+    assert text[bounds[0][0] : bounds[0][1]] + "".join(text[x[1] : y[1]] for x, y in zip(bounds, bounds[1:], strict=False)) == text
+    assert all(overlap <= x[1] - y[0] <= overlap + overlap // 4 for x, y in zip(bounds, bounds[1:], strict=False))
+    assert len(bounds) == max(1, -(-(len(text) - overlap) // (limit - overlap)))
+
+
+def test_pieces_are_as_few_as_possible_and_begin_at_words():
+    rng = random.Random(2)
+    begun = pieces = 0
+    for _ in range(200):
+        text = " ".join("x" * rng.randrange(1, 12) + rng.choice(["", "", "", ".", ",", ".\n\n"]) for _ in range(rng.randrange(450, 3000)))
+        bounds = so.piece_bounds(text, 2400, 200)
+        assert len(bounds) == max(1, -(-(len(text) - 200) // 2200))
+        begun += sum(text[a - 1].isspace() and not text[a].isspace() for a, _ in bounds[1:])
+        pieces += len(bounds) - 1
+        assert all(b - a <= 2400 for a, b in bounds)
+    assert begun >= 0.97 * pieces
 
 
 def test_pieces_are_balanced_and_snap():
