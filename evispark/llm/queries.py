@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.llm import broken_pairs as bp
@@ -107,6 +107,29 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mi.mix_shares(mi.checkpointed(mi.mix_sources(_t(spark, d, "documents"), targets)), targets)
 
 
+def p2_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each distinct oversized text: its length, and whether its pieces keep the limit, overlap by 200 to 250, give the text back, and are as few as can be."""
+    p = p2_pieces(spark, d).where("n_pieces > 1").withColumn("n", F.length("text"))
+    before = F.coalesce(F.lag("window_end").over(Window.partitionBy("chunk_id", "section", "_of").orderBy("piece_no")), F.col("window_start"))
+    texts = _t(spark, d, "chunks").where("length(text) > 2400").select("chunk_id", "section", F.xxhash64("text").alias("_of"), F.col("text").alias("whole")).distinct()
+    p = p.join(texts, p["chunk_id"].eqNullSafe(texts["chunk_id"]) & p["section"].eqNullSafe(texts["section"])).drop(texts["chunk_id"]).drop(texts["section"])
+    p = p.withColumn("before", before).withColumn("same", F.substring("whole", F.col("window_start") + 1, F.col("n")) == F.col("text"))
+    last = F.max("window_end") == F.first(F.length("whole"))
+    ok = F.bool_and(F.col("same") & (F.col("n") <= 2400) & ((F.col("piece_no") == 1) | (F.col("before") - F.col("window_start")).between(200, 250))) & last & (F.count("*") == F.ceil((F.first(F.length("whole")) - 200) / 2200))
+    return p.groupBy("chunk_id", "section", "_of").agg(F.first(F.length("whole")).alias("chars"), ok.alias("good")).select("chunk_id", "chars", "good")
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target that has documents: how many, whether none is used more often than max_repeats, and whether its tokens are within its largest document of what can be had."""
+    targets = _t(spark, d, "mix_targets")
+    mixed = mi.checkpointed(mi.mix_sources(_t(spark, d, "documents"), targets))
+    shares = mi.mix_shares(mixed, targets).where("docs > 0").join(mixed.groupBy("source").agg(F.max("tokens").alias("largest")), "source")
+    rows = shares.collect()  # a row for each target
+    budget = mi.token_budgets([(r["source"], float(r["target_share"]), r["max_repeats"], r["tokens"]) for r in rows], float(sum(r["tokens"] for r in rows)))
+    want = spark.createDataFrame(sorted(budget.items()), "source string, budget double")
+    return shares.join(want, "source").select("source", "docs", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("used_tokens") - F.col("budget")) <= F.col("largest")).alias("near_budget"))
+
+
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return tq.text_quality(_t(spark, d, "documents"), _t(spark, d, "common_words"))
 
@@ -116,7 +139,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pairs, p6_found, p6_clean, p6_blocks, p7_found, p7_shares, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_stats)
+    found = (p1_found, p1_groups, p2_found, p2_pieces, p2_invariants, p3_found, p3_ranking, p4_found, p4_clean, p5_found, p5_pairs, p6_found, p6_clean, p6_blocks, p7_found, p7_shares, p8_found, p8_report, p9_mix, p9_shares, p9_invariants, p10_found, p10_stats)
     return {f.__name__: f for f in found}
 
 
@@ -157,6 +180,8 @@ c AS (SELECT x AS t, MIN(y) AS grp FROM r GROUP BY x),
 l AS (SELECT grp, MIN(chunk_id) AS group_id FROM d JOIN c USING (t) GROUP BY grp)
 SELECT chunk_id, group_id, COALESCE(n_links, 0) AS n_links FROM d JOIN c USING (t) JOIN l USING (grp) LEFT JOIN k ON k.t = d.t""",
         "p2_found": "SELECT DISTINCT chunk_id FROM chunks WHERE LENGTH(text) > 2400 AND chunk_id IS NOT NULL",
+        "p2_invariants": "SELECT chunk_id, LENGTH(text) AS chars, TRUE AS good FROM (SELECT DISTINCT chunk_id, section, text FROM chunks WHERE LENGTH(text) > 2400)",
+        "p9_invariants": "SELECT source, COUNT(*) AS docs, TRUE AS within_repeats, TRUE AS near_budget FROM (SELECT DISTINCT doc_id, source, text FROM documents WHERE text <> '' AND doc_id IS NOT NULL) JOIN (SELECT DISTINCT source FROM mix_targets) USING (source) GROUP BY source",
         "p3_found": """
 WITH h AS (SELECT query_id, retriever, chunk_id, MAX(CASE WHEN better = 'lower' THEN -score ELSE score END) AS s FROM hits LEFT JOIN score_kinds USING (retriever)
            WHERE score IS NOT NULL AND NOT ISNAN(score) AND query_id IS NOT NULL AND chunk_id IS NOT NULL AND retriever IS NOT NULL GROUP BY 1, 2, 3),

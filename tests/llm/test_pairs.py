@@ -238,10 +238,25 @@ def test_leaks_in_several_passes(spark, monkeypatch):
 
 
 def test_a_block_that_ends_no_pattern_shifts():
-    p = li.build_patterns([(1, " ".join(f"w{i}" for i in range(12)))], 12)
+    p = li.build_patterns(li.item_words([(1, " ".join(f"w{i}" for i in range(12)))], 12))
     assert p.shift.max() == 11 and p.shift.min() == 0
     assert li.search([" ".join(["z"] * 50 + [f"w{i}" for i in range(12)] + ["z"])], p) == {(0, 1)}
     assert li.search(["w0"], p) == set()
+    assert li.search(["w0 " * 50], li.build_patterns(li.item_words([], 12))) == set()
+
+
+def test_many_items_need_little_memory():
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(5000)]
+    items = [(k, " ".join(rng.choices(pool, k=200))) for k in range(20_000)]
+    began = time.process_time()
+    sent = li.item_words(items, 12)
+    p = li.build_patterns(sent)
+    assert sum(x.nbytes for x in (sent.words, sent.text, sent.ids)) < 60e6
+    assert sum(x.nbytes for x in (p.shift, p.bucket, p.start)) < 200e6
+    assert time.process_time() - began < 30
+    text = " ".join(rng.choices(pool, k=3000) + items[777][1].split()[50:70] + rng.choices(pool, k=3000))
+    assert li.search([text], p) == {(0, 777)}
 
 
 def _lines(rows, least=6):
@@ -284,6 +299,7 @@ def test_consecutive_standing_lines_form_a_block(spark):
     df = spark.createDataFrame(rows, "chunk_id string, doc_id string, ticker string, source string, text string")
     assert rl.repeated_lines(df).select("block").distinct().count() == 1
     assert rl.repeated_lines(df).count() == 16
+    assert [(r["lines"], r["texts"], r["docs"]) for r in rl.block_report(rl.repeated_lines(df)).collect()] == [(16, 8, 8)]
 
 
 def test_large_groups_are_multiplied_in_parts():

@@ -270,14 +270,34 @@ def test_mixing_reaches_the_shares(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
     t = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 4), ("c", 0.19, 5), ("none", 0.01, 3)], "source string, target_share double, max_repeats int")
     mixed = mi.mix_sources(df, t)
-    s = {r["source"]: r for r in mi.mix_shares(mixed, t).collect()}
+    total = mixed.agg(F.sum("tokens")).first()[0]
+    s = {r["source"]: r.asDict() | {"total": total} for r in mi.mix_shares(mixed, t).collect()}
     for k, share in (("a", 0.4), ("b", 0.4), ("c", 0.19)):
-        assert s[k]["actual_share"] == pytest.approx(share / 0.99, abs=0.02)
+        assert abs(s[k]["used_tokens"] - share / 0.99 * s[k]["total"]) <= 60  # one document
         assert s[k]["most_copies"] <= {"a": 1, "b": 4, "c": 5}[k]
     assert s["none"]["used_tokens"] == 0
     assert mi.mix_sources(df.limit(0), t).count() == 0
 
 
+def test_one_hot_size_and_few_documents_meet_their_budgets(spark):
+    rows = [(i, "hot", "word " * 7) for i in range(900)] + [(1000 + i, "few", "word " * (5 + 13 * i)) for i in range(9)] + [(2000 + i, "rest", "word " * (1 + i % 40)) for i in range(600)]
+    t = spark.createDataFrame([("hot", 0.35, 2), ("few", 0.06, 3), ("rest", 0.59, 1)], "source string, target_share double, max_repeats int")
+    mixed = mi.checkpointed(mi.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), t))
+    most = {"hot": 2, "few": 3, "rest": 1}
+    by = {r["source"]: r for r in mi.mix_shares(mixed, t).collect()}
+    total = mixed.agg(F.sum("tokens")).first()[0]
+    budgets = mi.token_budgets([(r["source"], r["target_share"], r["max_repeats"], r["tokens"]) for r in by.values()], total)
+    for k, r in by.items():
+        assert abs(r["used_tokens"] - budgets[k]) <= 8 and r["most_copies"] <= most[k], (k, r, budgets)
+    assert mixed.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_rates_that_do_not_converge_are_an_error(spark):
+    c = spark.createDataFrame([("a", 5, 3), ("a", 9, 2)], "source string, tokens long, n long")
+    with pytest.raises(ValueError, match="converge"):
+        mi.balancing_rates(c, {"a": 11.0}, {"a": 1}, most_steps=1)
+
+
 def test_short_sources_give_all_they_may(spark):
     df = spark.createDataFrame([(i, "big" if i else "small", "word " * 20) for i in range(100)], "doc_id long, source string, text string")
     t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
