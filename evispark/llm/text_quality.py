@@ -4,7 +4,9 @@ Each line (long ones in stretches) gets the distribution of its tokens over a fe
 classes: function words, other words, numbers and so on. It takes the structural
 profile that is nearest by Jensen-Shannon divergence. Letter frequencies against
 language profiles and the variety of words then tell damaged or repetitive text from
-lists. A document's kind is the one that holds most of its characters.
+lists. Text of a language without function words or letters here, or of another script, is
+prose if it is made as prose is: sentences of some length, mostly of small words in lower case,
+vowels among the letters. A document's kind is the one that holds most of its characters.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ LETTERS_MOST, LETTERS_LEAST = 0.125, 80
 #: Least share of different words (of different lines where lines are short) in a part of at least VARIETY_WORDS words, neither prose nor table, that isn't repetition.
 VARIETY_LEAST, VARIETY_WORDS = 0.30, 20
 STRETCH = 40
+#: Prose of an unknown language: greatest share of known function words; least share of words in lower case; shares of short ones; shares of vowels among Latin letters; words between sentence ends.
+UNKNOWN_FUNCTION, UNKNOWN_LOWER, UNKNOWN_SHORT, UNKNOWN_VOWELS, UNKNOWN_SENTENCE = 0.25, 0.7, (0.12, 0.65), (0.30, 0.58), (4, 60)
+#: Prose of another script: most letters to a sentence end, least letters to a line.
+SCRIPT_SENTENCE, SCRIPT_LINE = 300, 25
 
 _URL = re.compile(r"(?:https?://|www\.|ftp://)\S+|[\w.+-]+@[\w-]+\.\w+\S*|(?:\w+/){2,}\S*")
 _NUMBER = re.compile(r"[({\[$€£+-]*\d[\d.,:/-]*(?:%|\)|\}|\]|\.|,|;)*")
@@ -77,6 +83,8 @@ _CONSONANTS = re.compile("[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _ODD = re.compile(r"[^\W\d_][;:|~!^<>=*#@][^\W\d_]")
 _PUNCTUATION = tuple(".!?…。！？:;")
 _SYMBOL = re.compile(r"[^\w\s]")
+_SENTENCE = re.compile(r"[.!?。！？।؟]+[\"'”’»)]*(?=\s|$)|[。！？]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff\ufe70-\ufeff]")
 
 
 def token_class(token: str, function: frozenset[str]) -> int:
@@ -97,6 +105,8 @@ def token_class(token: str, function: frozenset[str]) -> int:
         return 3
     if not bare:
         return 6
+    if not bare.isascii() and (other := len(_OTHER_SCRIPT.findall(bare))) * 2 > len(bare):
+        return 2 if other <= 2 else 1
     if any(c.isdigit() for c in bare):
         letters = sum(c.isalpha() for c in bare)
         return 5 if letters else 3
@@ -178,6 +188,25 @@ def letter_divergence(text: str) -> float:
     return float(_divergence((v / v.sum())[None], _LETTER).min()) if v.sum() >= LETTERS_LEAST else 0.0
 
 
+def is_unknown_prose(lines: list[str], words: list[str], function: float) -> bool:
+    """Lines made as prose is, of a language or script without a profile. words: their words as they stand; function: share of known function words."""
+    text = "\n".join(lines)
+    letters = sum(map(str.isalpha, text))
+    ends = len(_SENTENCE.findall(text))
+    if not letters or not ends:
+        return False
+    other = len(_OTHER_SCRIPT.findall(text))
+    if other * 2 > letters:
+        return letters <= SCRIPT_SENTENCE * ends and letters >= SCRIPT_LINE * len(lines)
+    if function > UNKNOWN_FUNCTION or len(words) < 12:
+        return False
+    latin = [c for c in text.lower().translate(_FOLD) if c.isalpha()]
+    vowels = sum(c in "aeiouyąęėįųūőűœæøåıșț" for c in latin) / len(latin)
+    lower = sum(w[0].islower() for w in words) / len(words)
+    short = sum(len(w) <= 3 for w in words) / len(words)
+    return UNKNOWN_VOWELS[0] <= vowels <= UNKNOWN_VOWELS[1] and lower >= UNKNOWN_LOWER and UNKNOWN_SHORT[0] <= short <= UNKNOWN_SHORT[1] and UNKNOWN_SENTENCE[0] <= len(words) / ends <= UNKNOWN_SENTENCE[1]
+
+
 def describe(texts: list[str], classes: _Classes) -> list[dict]:
     """Statistics and kind of each text."""
     rows, owner, tokens_of, lengths, segs = [], [], [], [], []
@@ -233,6 +262,8 @@ def describe(texts: list[str], classes: _Classes) -> list[dict]:
             variety = len(set(plain)) / len(plain) if per_line > 5 else len(set(kept)) / len(kept)
             if len(plain) >= VARIETY_WORDS and variety < VARIETY_LEAST:
                 k[loose] = 3
+            elif is_unknown_prose(kept, [w for i in loose for t in tokens_of[a + i] if (w := t.strip(_TRIM)) and w[0].isalpha()], total[0] / max(1, total.sum())):
+                k[loose] = 0
             elif letter_divergence(" ".join({t for i in loose for t in tokens_of[a + i]})) > LETTERS_MOST and total[7] * 4 < total.sum():
                 k[loose] = 3
         chars = np.bincount(k, weights=n, minlength=len(KINDS))

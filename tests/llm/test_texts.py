@@ -333,6 +333,29 @@ def test_kinds_of_text(text, kind):
     assert tq.describe([text], c)[0]["kind"] == kind
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Bank poinformował, że stopa procentowa kredytu nie zmieni się w tym roku. Klienci, którzy o to pytali, dostaną list do końca miesiąca. Zarząd uważa, że to dobra decyzja dla wszystkich, bo koszty są niższe niż rok temu.",
+        "De bank heeft gezegd dat de rente van de lening dit jaar niet zal worden gewijzigd. Klanten die daarom hadden gevraagd, krijgen een brief. Het bestuur is van mening dat dit voor iedereen goed is, ook voor de kleine spaarders.",
+        "Банк сообщил, что ставка по кредиту в этом году не изменится. Клиенты, которые об этом просили, получат письмо. Правление считает, что это хорошо для всех.",
+        "銀行は、今年の貸出金利を変更しないと発表しました。問い合わせをした顧客には書面で通知します。取締役会は、これがすべての人にとって良いことだと考えています。",
+        "Η τράπεζα ανακοίνωσε ότι το επιτόκιο του δανείου δεν θα αλλάξει φέτος. Οι πελάτες που το ζήτησαν θα λάβουν επιστολή. Το συμβούλιο θεωρεί ότι αυτό είναι καλό για όλους.",
+        "Banken meddelade att räntan på lånet inte kommer att ändras i år. Kunder som har frågat om det får ett brev. Styrelsen anser att det är bra för alla, och att det blir så även nästa år.",
+        "La banca ha detto che il tasso del prestito non sarà cambiato in questo anno. I clienti che lo hanno chiesto avranno una lettera. Il consiglio pensa che sia un bene per tutti, e non solo per i soci.",
+    ],
+)
+def test_prose_of_languages_without_a_profile(text):
+    c = tq._Classes(frozenset(w for _, w in FUNCTION))
+    assert tq.describe([text], c)[0]["kind"] == "prose"
+
+
+@pytest.mark.parametrize(("text", "kind"), [("\n".join(["Варшава", "Краков", "Гданьск", "Познань", "Лодзь", "Щецин"] * 4), "list"), ("gur onax fnvq gung gur engr bs gur ybna jnf abg gb or punatrq. gur pyvragf jub unq nfxrq jbhyq or gbyq ol znvy. vg vf gur ivrj bs gur obneq.", "junk")])
+def test_what_only_looks_like_unknown_prose(text, kind):
+    c = tq._Classes(frozenset(w for _, w in FUNCTION))
+    assert tq.describe([text], c)[0]["kind"] in (kind, "list", "junk")
+
+
 def test_statistics(spark):
     words = spark.createDataFrame(FUNCTION, "lang string, word string")
     df = spark.createDataFrame([(1, "The cat is big.\nno end"), (2, ""), (3, None), (1, "The cat is big.\nno end"), (4, "w " * 100000)], "doc_id long, text string").withColumn("kind", F.lit("clash"))
