@@ -55,3 +55,9 @@ def full_grid(cells: DataFrame, axes: list[str], value: Column, name: str) -> Da
 def retrieval_latency(total: Column, retrieval: Column, retrieve_only: Column) -> Column:
     """Retrieval latency, for older retrieve-only runs the combined one."""
     return F.coalesce(retrieval, F.when(retrieve_only, total))
+
+
+def flatten_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id, score (to 4 digits), doc_id, ticker, date, section, text of each hit; chunks has a row for each chunk_id. Only the hits' texts are read on."""
+    own = chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "doc_id", "ticker", "date", "section", F.coalesce("text", F.lit("")).alias("text"))
+    return hits.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score")).join(own, "chunk_id", "left").select("query_id", "rank", "chunk_id", "score", "doc_id", "ticker", "date", "section", "text")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.text import metric_words, sentences, word_count
+from evispark.operators.once import one_row_each
 
 
 def sentence_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,12 +138,17 @@ def expand_windows(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     on document and section with the range as a filter.
     """
     number = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("int")
-    one = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.struct("doc_id", "section", "window_start", "window_end", "text")).alias("x")).select("chunk_id", "x.*")
-    sents = one.where("window_start is not null and text is not null").select("doc_id", F.coalesce("section", F.lit("")).alias("section"), number.alias("i"), F.col("text").alias("sentence"))
-    wanted = hits.select("chunk_id").distinct().join(one, "chunk_id")
-    wide = wanted.where("window_start is not null").withColumn("section", F.coalesce("section", F.lit(""))).join(sents, ["doc_id", "section"]).where("i >= window_start and i < window_end")
+    rest = ["doc_id", "section", "window_start", "window_end", "text"]
+    rows = chunks.where("chunk_id is not null").select("chunk_id", *rest)
+    # ids and places first, then only the texts of the hits and of their windows
+    mine = one_row_each(rows.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", rest)
+    filled = lambda df: df.withColumn("section", F.coalesce("section", F.lit("")))
+    windows = filled(mine.where("window_start is not null and doc_id is not null")).select("chunk_id", "doc_id", "section", "window_start", "window_end")
+    near = filled(rows).join(windows.select("doc_id", "section").distinct(), ["doc_id", "section"], "left_semi")
+    sents = one_row_each(near, "chunk_id", rest).where("window_start is not null and text is not null").select("doc_id", "section", number.alias("i"), F.col("text").alias("sentence"))
+    wide = windows.join(sents, ["doc_id", "section"]).where("i >= window_start and i < window_end")
     texts = wide.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("wide"))  # a window of a few sentences
-    return hits.join(one.select("chunk_id", F.col("text").alias("own")), "chunk_id", "left").join(texts, "chunk_id", "left").select(*hits.columns, F.coalesce("wide", "own").alias("text"))
+    return hits.join(mine.select("chunk_id", F.col("text").alias("own")), "chunk_id", "left").join(texts, "chunk_id", "left").select(*hits.columns, F.coalesce("wide", "own").alias("text"))
 
 
 def size_stats(chunks: DataFrame, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.functions.stats import exclusive_percentile, wilson
+from evispark.operators.once import once_each
 
 SENTINEL = "INSUFFICIENT_CONTEXT"
 
@@ -30,8 +31,8 @@ def span_matches(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     Words, n-grams and figures come from built-in array functions; the equality on doc_id comes first, so each span
     meets only its document's chunks.
     """
-    c = chunks.where("chunk_id is not null").select("chunk_id", "doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    c = c.select("chunk_id", "doc_id", T.metric_words(F.col("text")).alias("cw"), T.figures(F.col("text")).alias("cf"))
+    c = chunks.where("chunk_id is not null").select("chunk_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    c = once_each(c).select("chunk_id", "doc_id", T.metric_words(F.col("text")).alias("cw"), T.figures(F.col("text")).alias("cf"))
     s = spans.select("id", "span_no", "doc_id", T.metric_words(F.col("snippet")).alias("gw"), T.figures(F.col("snippet")).alias("gf"))
     m = s.join(c, "doc_id").select("id", "span_no", "chunk_id", overlap_of(F.col("gw"), F.col("cw")).alias("overlap"), T.contradicts(F.col("cf"), F.col("gf")).alias("contradiction"))
     return m.withColumn("hit", (F.col("overlap") > 0) & ~F.col("contradiction"))

@@ -40,9 +40,24 @@ def pool_quota(lists: DataFrame, k: int) -> DataFrame:
     return interleave(lists, k).groupBy("query_id", "retriever").agg(F.count("*").alias("chunks"))
 
 
-def fuse_width(k: int, pools: Column) -> Column:
-    """Places to keep when several queries' pools are fused."""
-    return F.lit(k) * pools
+def fuse_lists(lists: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank of a query's lists (query_id, retriever, chunk_id, pos, score): reciprocal ranks fuse several; a single list keeps its own order and scores, which tell a sure hit from a weak one."""
+    number = lists.groupBy("query_id").agg(F.countDistinct("retriever").alias("_lists"))
+    raw = lists.groupBy("query_id", "chunk_id").agg(F.max("score").alias("_raw"))
+    fused = rrf(lists, k, rrf_k).join(number, "query_id").join(raw, ["query_id", "chunk_id"])
+    return fused.select("query_id", "chunk_id", F.when(F.col("_lists") == 1, F.col("_raw")).otherwise(F.col("score")).alias("score"), "rank")
+
+
+def fuse_pools(pools: DataFrame, k: int, how: str = "rrf", rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank of the pools (query_id, retriever: the pool, chunk_id, pos) of a question's sub-questions, by reciprocal ranks or round robin (interleave); k places for each pool the question has. An unknown way raises."""
+    width = pools.groupBy("query_id").agg((F.countDistinct("retriever") * k).alias("_width"))
+    if how == "rrf":
+        fused = rrf(pools, 2**31 - 1, rrf_k)
+    elif how == "interleave":
+        fused = interleave(pools, 2**31 - 1).select("query_id", "chunk_id", F.lit(None).cast("double").alias("score"), "rank")
+    else:
+        raise ValueError(f"unknown fusion: {how}")
+    return fused.join(width, "query_id").where(F.col("rank") <= F.col("_width")).drop("_width")
 
 
 def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:

@@ -89,3 +89,38 @@ def round_robin(rows: DataFrame, strata: list[str], order: str, n: int) -> DataF
     """n rows, taken in turn from the strata."""
     w = Window.partitionBy(*strata).orderBy(order)
     return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", *strata).limit(n)
+
+
+def proportional_sample(rows: DataFrame, stratum: str, key: str, n: int, required: DataFrame) -> DataFrame:
+    """The required rows (key), and of the others so many of each stratum, the first by hash, as its share of n rounds down to; n is the feature's limit."""
+    total = rows.agg(F.count("*").alias("_total"))
+    quota = rows.groupBy(stratum).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total)).select(stratum, F.floor(F.lit(n) * F.col("_n") / F.col("_total")).alias("_quota"))  # one row
+    must = required.select(key).distinct()
+    w = Window.partitionBy(stratum).orderBy(F.md5(key), key)
+    others = rows.join(must, key, "left_anti").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)  # cut before the shuffle
+    return others.join(quota, stratum).where("_rn <= _quota").select(rows.columns).unionByName(rows.join(must, key, "left_semi"))
+
+
+def _long(chunks: DataFrame, least_chars: int) -> DataFrame:
+    return chunks.where((F.length("text") > least_chars) & (F.col("ticker") != "") & F.col("section").isNotNull() & F.col("chunk_id").isNotNull())
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.md5("chunk_id"), "chunk_id"))["chunk_id"].alias("chunk_id")
+
+
+def temporal_pairs(chunks: DataFrame, least_chars: int = 1200) -> DataFrame:
+    """ticker, section, early, late, chunk_id_a, chunk_id_b: a passage, the first by hash, of the first and of the last year of each issuer's section; sections of one year have none."""
+    year = F.substring("date", 1, 4).alias("year")
+    reps = checkpointed(_long(chunks, least_chars).where("date is not null").groupBy("ticker", "section", year).agg(_first()))
+    ends = reps.groupBy("ticker", "section").agg(F.min(F.struct("year", "chunk_id")).alias("a"), F.max(F.struct("year", "chunk_id")).alias("b")).where("a.year < b.year")
+    return ends.select("ticker", "section", F.col("a.year").alias("early"), F.col("b.year").alias("late"), F.col("a.chunk_id").alias("chunk_id_a"), F.col("b.chunk_id").alias("chunk_id_b"))
+
+
+def cross_entity_pairs(chunks: DataFrame, least_chars: int = 1200, rounds: int = 3) -> DataFrame:
+    """section, round, chunk_id_a, chunk_id_b: in each round the issuers of a section are put in another order by hash and paired, each with its passage that comes first by hash."""
+    reps = _long(chunks, least_chars).groupBy("section", "ticker").agg(_first())
+    each = reps.select("section", "ticker", "chunk_id", F.explode(F.array(*[F.lit(r) for r in range(rounds)])).alias("round"))
+    w = Window.partitionBy("section", "round").orderBy(F.md5(F.concat_ws("|", "ticker", "section", F.col("round").cast("string"))))
+    placed = each.withColumn("i", F.row_number().over(w) - 1).withColumn("b", F.lead("chunk_id").over(w))
+    return placed.where("i % 2 = 0 and b is not null").select("section", "round", F.col("chunk_id").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))

@@ -32,3 +32,15 @@ def once_each(rows: DataFrame, text: str = "text") -> DataFrame:
     single = keyed.join(side, on, "left_anti")
     again = keyed.join(side, on, "left_semi").dropDuplicates(keys)
     return single.unionByName(again).select(*rows.columns)
+
+
+def one_row_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key and order, a row for each key: the least by the columns of order. Only rows of repeated keys are grouped. The key isn't null."""
+    repeated = checkpointed(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    n = repeated.count()
+    rows = rows.select(key, *order)
+    if not n:
+        return rows
+    side = F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated
+    least = rows.join(side, key, "left_semi").groupBy(key).agg(F.min(F.struct(*order)).alias("_x")).select(key, "_x.*")
+    return rows.join(side, key, "left_anti").unionByName(least)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.text import metric_words
-from evispark.operators import chunking, fusion, lexical, routing
+from evispark.operators import chunking, dense, fusion, lexical, routing
+from evispark.operators.once import one_row_each
 from evispark.session import checkpointed
 
 COLLECTIONS = {"filings": ("edgar", "fomc"), "complaints": ("cfpb",)}
@@ -15,7 +16,30 @@ COLLECTIONS = {"filings": ("edgar", "fomc"), "complaints": ("cfpb",)}
 def _one_row(chunks: DataFrame) -> DataFrame:
     """One row for each chunk_id with a text."""
     rest = ["text", "doc_id", "source", "ticker", "form", "date"]
-    return chunks.where("chunk_id is not null and text is not null").groupBy("chunk_id").agg(F.min(F.struct(*rest)).alias("x")).select("chunk_id", "x.*")
+    return one_row_each(chunks.where("chunk_id is not null and text is not null").select("chunk_id", *rest), "chunk_id", rest)
+
+
+def search(queries: DataFrame, chunks: DataFrame, retriever: str, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best by bm25, dense (inner product) or hybrid (both lists fused by reciprocal ranks).
+
+    queries: id, question; chunks: chunk_id, text; vectors: vec_id (a number for each chunk), chunk_id, embedding; query_vectors:
+    query_id (a number), id, embedding. An unknown retriever raises, as does a missing table of vectors.
+    """
+    if retriever not in ("bm25", "dense", "hybrid"):
+        raise ValueError(f"unknown retriever: {retriever}")
+    if retriever != "bm25" and (vectors is None or query_vectors is None):
+        raise ValueError(f"{retriever} search needs vectors of chunks and queries")
+    lists = []
+    if retriever != "dense":
+        found = lexical.bm25_topk(queries, chunks, k, "id", "question", "chunk_id", "text")
+        lists.append(found.select("query_id", F.lit("bm25").alias("retriever"), F.col("doc_id").alias("chunk_id"), F.col("rank").alias("pos"), "score"))
+    if retriever != "bm25":
+        names = query_vectors.select(F.col("query_id").alias("_q"), F.col("id").alias("query_id"))
+        found = dense.dense_topk(query_vectors.select("query_id", "embedding"), vectors, k).withColumnRenamed("query_id", "_q")
+        found = found.join(names, "_q").join(vectors.select("vec_id", "chunk_id"), "vec_id")
+        lists.append(found.select("query_id", F.lit("dense").alias("retriever"), "chunk_id", F.col("rank").alias("pos"), "score"))
+    both = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    return fusion.fuse_lists(both, k, rrf_k)
 
 
 def parts(questions: DataFrame) -> DataFrame:
@@ -67,9 +91,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 20, context: int
     no rows.
     """
     asked = checkpointed(parts(questions))
-    pool = fusion.rrf(collection_lists(asked, chunks, k), k * len(COLLECTIONS)).select("query_id", "chunk_id", F.col("rank").alias("pos"))
+    pool = checkpointed(fusion.rrf(collection_lists(asked, chunks, k), k * len(COLLECTIONS)).select("query_id", "chunk_id", F.col("rank").alias("pos")))
     q = asked.select(F.col("id").alias("query_id"), metric_words(F.col("question")).alias("q"))
-    p = _one_row(chunks).select("chunk_id", metric_words(F.col("text")).alias("p"))
+    # the pools' ids first, then only their texts
+    p = _one_row(chunks.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")).select("chunk_id", metric_words(F.col("text")).alias("p"))
     pairs = pool.join(q, "query_id").join(p, "chunk_id")
     # no more than `context` of a pool can come among the first `context` of all
     own = fusion.rerank(pairs, fusion.windowed_max(pairs, F.col("q"), F.col("p"), budget), context)

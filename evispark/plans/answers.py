@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark.operators import answers as an
 from evispark.operators import fusion, retrieve
+from evispark.operators.once import one_row_each
 from evispark.plans.evaluation import _ANSWERS, _RECORDS, _answers, _records
 from evispark.plans.retrieval import _LISTS
 from evispark.plans.tables import table
@@ -27,6 +28,12 @@ def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     return an.context_blocks(lists.withColumnRenamed("pos", "rank").join(c, "chunk_id"))
 
 
+def flatten_hits(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "hits").where("retriever = 'rerank' and query_id is not null and chunk_id is not null and score is not null and not isnan(score)").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    rest = ["doc_id", "ticker", "date", "section", "text"]
+    return an.flatten_hits(h, one_row_each(table(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", *rest), "chunk_id", rest))
+
+
 def answer_selection(spark: SparkSession, d: str) -> DataFrame:
     r = _records(spark, d).join(table(spark, d, "hits").groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("contexts")), "id", "left")
     why = an.selection_reason(F.col("type"), F.col("answer"), F.col("contexts"), F.col("ground_truth"))
@@ -58,7 +65,7 @@ def cell_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (retrieve_pipeline, context_blocks, answer_selection, judge_means, label_rescore_diff, ablation_grid, type_spread, cell_counts)
+    fs = (retrieve_pipeline, context_blocks, flatten_hits, answer_selection, judge_means, label_rescore_diff, ablation_grid, type_spread, cell_counts)
     return {f.__name__: f for f in fs}
 
 
@@ -71,6 +78,9 @@ def oracle_sql() -> dict[str, str]:
         "context_blocks": f"""WITH {_LISTS}, c AS (SELECT chunk_id, min({{'a': ticker, 'b': source, 'c': form, 'd': date, 'e': section, 'f': text}}) AS x FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
 b AS (SELECT query_id, pos, '[S' || pos || '] (' || coalesce(x.a, x.b, '') || ' ' || coalesce(x.c, '') || ' ' || coalesce(x.d, '') || ', ' || coalesce(x.e, '') || ')' || chr(10) || coalesce(x.f, '') AS t FROM ls JOIN c USING (chunk_id) WHERE retriever = 'rerank' AND pos <= 5)
 SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS context FROM b GROUP BY 1""",
+        "flatten_hits": """WITH h AS (SELECT query_id, chunk_id, max(score) AS score, min(rank) AS rank FROM hits WHERE retriever = 'rerank' AND query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id NULLS FIRST, ticker NULLS FIRST, date NULLS FIRST, section NULLS FIRST, text NULLS FIRST) AS rn FROM chunks WHERE chunk_id IS NOT NULL)
+SELECT query_id, rank, h.chunk_id, round(score, 4) AS score, doc_id, ticker, date, section, CASE WHEN c.chunk_id IS NOT NULL THEN coalesce(text, '') END AS text FROM h LEFT JOIN c ON h.chunk_id = c.chunk_id AND rn = 1""",
         "answer_selection": rf"""WITH {_RECORDS}, h AS (SELECT query_id AS id, count(*) AS contexts FROM hits GROUP BY 1),
 x AS (SELECT config, CASE WHEN type IN ('unanswerable', 'out_of_scope') THEN 'negative' WHEN NOT coalesce(regexp_matches(answer, '{_SOLID}'), false) THEN 'empty' WHEN starts_with(regexp_replace(answer, '^\s+', ''), 'INSUFFICIENT_CONTEXT') THEN 'refused' WHEN coalesce(contexts, 0) = 0 THEN 'no contexts' WHEN NOT coalesce(regexp_matches(ground_truth, '{_SOLID}'), false) THEN 'no reference' ELSE 'judged' END AS reason FROM rc LEFT JOIN h ON h.id = rc.id)
 SELECT config, reason, count(*) AS n FROM x GROUP BY ALL""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
@@ -45,8 +45,9 @@ def context_headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("doc_id is not null").select("doc_id", "section").distinct()
-    return c.select("doc_id", "section", T.chunk_id(F.col("doc_id"), F.col("section"), F.lit(7)).alias("name"))
+    c = table(spark, d, "chunks").where("doc_id is not null and chunk_id is not null").select("doc_id", "section", "chunk_id").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("chunk_id")) - 1  # a document's chunks
+    return c.withColumn("i", place).select("chunk_id", "doc_id", "section", T.chunk_id(F.col("doc_id"), F.col("section"), F.col("i")).alias("name"))
 
 
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +89,21 @@ def normalize_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_dup_openings(spark: SparkSession, d: str) -> DataFrame:
-    return normalise.near_duplicate_openings(table(spark, d, "documents").where("text is not null"))
+    return normalise.near_duplicate_openings(normalise.normalise(_corpus(spark, d), "seq").where("reason is null"))
+
+
+def distractor_sample(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "chunks").where("chunk_id is not null and source is not null").select("chunk_id", "source").distinct()
+    gold = table(spark, d, "drafts_multihop").where("type = 'comparative'").select(F.explode(F.split("drafted_from_chunk", r"\|")).alias("chunk_id")).distinct()
+    return normalise.proportional_sample(c, "source", "chunk_id", 300, gold).select("chunk_id", "source")
+
+
+def temporal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return normalise.temporal_pairs(table(spark, d, "chunks"), 300)
+
+
+def cross_entity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return normalise.cross_entity_pairs(table(spark, d, "chunks"), 300, 3)
 
 
 def quarter_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +137,7 @@ def zip3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (html_to_text, tighten_money, fingerprints, figures, section_longest_match, context_headers, chunk_ids, sentence_windows, window_expand, fixed_chunks, semantic_breaks, semantic_pack, chunk_size_stats, normalize_dedupe, normalize_drop_reasons, near_dup_openings, quarter_stratified_sample, last_wins_merge, stratified_pick, round_robin_strata, narrowest_cells, zip3)
+    fs = (html_to_text, tighten_money, fingerprints, figures, section_longest_match, context_headers, chunk_ids, sentence_windows, window_expand, fixed_chunks, semantic_breaks, semantic_pack, chunk_size_stats, normalize_dedupe, normalize_drop_reasons, near_dup_openings, quarter_stratified_sample, last_wins_merge, stratified_pick, round_robin_strata, narrowest_cells, zip3, distractor_sample, temporal_pairs, cross_entity_pairs)
     return {f.__name__: f for f in fs}
 
 
@@ -172,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "figures": rf"SELECT chunk_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(replace(text, ',', ''), '\d+(?:\.\d+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END))), ' ') AS figures FROM {chunks}",
         "section_longest_match": "SELECT doc_id, 'full_document' AS name, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE text IS NOT NULL",
         "context_headers": _header_sql(),
-        "chunk_ids": r"SELECT DISTINCT doc_id, section, doc_id || '_' || regexp_replace(regexp_replace(lower(coalesce(nullif(section, ''), 'unknown')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_007' AS name FROM chunks WHERE doc_id IS NOT NULL",
+        "chunk_ids": r"SELECT chunk_id, doc_id, section, doc_id || '_' || regexp_replace(regexp_replace(lower(coalesce(nullif(section, ''), 'unknown')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' || printf('%03d', row_number() OVER (PARTITION BY doc_id, section ORDER BY chunk_id) - 1) AS name FROM (SELECT DISTINCT doc_id, section, chunk_id FROM chunks WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL)",
         "sentence_windows": f"WITH {_SENT} SELECT doc_id, CAST(i AS INTEGER) AS i, s[i + 1] AS text, CAST(greatest(i - 3, 0) AS INTEGER) AS window_start, CAST(least(i + 4, n) AS INTEGER) AS window_end FROM (SELECT doc_id, s, len(s) AS n, unnest(range(0, len(s))) AS i FROM s2)",
         "window_expand": r"""WITH o AS (SELECT chunk_id, min({'a': doc_id, 'b': section, 'c': window_start, 'd': window_end, 'e': text}) AS x FROM chunks WHERE chunk_id IS NOT NULL AND NOT (doc_id IS NULL) GROUP BY chunk_id),
 one AS (SELECT chunk_id, x.a AS doc_id, coalesce(x.b, '') AS section, x.c AS ws, x.d AS we, x.e AS text, CAST(regexp_extract(chunk_id, '(\d+)$', 1) AS INTEGER) AS i FROM o),
@@ -193,7 +208,19 @@ SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(st[k + 1] AS INTEGER) AS sta
         "chunk_size_stats": r"SELECT count(*) AS n, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, CAST(max(n) AS INTEGER) AS longest FROM (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n FROM chunks)",
         "normalize_dedupe": f"WITH RECURSIVE {_CORPUS} SELECT seq, reason FROM nz",
         "normalize_drop_reasons": f"WITH RECURSIVE {_CORPUS} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM nz GROUP BY 1",
-        "near_dup_openings": f"SELECT count(*) AS openings, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY left({_NORM.format('lower(text)')}, 500) HAVING count(*) > 1)",
+        "near_dup_openings": f"WITH RECURSIVE {_CORPUS} SELECT count(*) AS openings, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM nz JOIN documents ON nz.seq = documents.doc_id WHERE reason IS NULL GROUP BY left({_NORM.format('lower(text)')}, 500) HAVING count(*) > 1)",
+        "distractor_sample": """WITH c AS (SELECT DISTINCT chunk_id, source FROM chunks WHERE chunk_id IS NOT NULL AND source IS NOT NULL),
+g AS (SELECT DISTINCT unnest(string_split(drafted_from_chunk, '|')) AS chunk_id FROM drafts_multihop WHERE type = 'comparative'),
+n AS (SELECT source, 300 * count(*) // (SELECT count(*) FROM c) AS quota FROM c GROUP BY 1),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY md5(chunk_id), chunk_id) AS rn FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM g WHERE chunk_id IS NOT NULL))
+SELECT chunk_id, source FROM r JOIN n USING (source) WHERE rn <= quota UNION SELECT c.* FROM c JOIN g USING (chunk_id)""",
+        "temporal_pairs": """WITH c AS (SELECT ticker, section, left(date, 4) AS year, chunk_id FROM chunks WHERE length(text) > 300 AND ticker <> '' AND section IS NOT NULL AND date IS NOT NULL AND chunk_id IS NOT NULL),
+y AS (SELECT ticker, section, min(year) AS a, max(year) AS b FROM c GROUP BY ALL HAVING min(year) < max(year)),
+p AS (SELECT ticker, section, year, min({'h': md5(chunk_id), 'c': chunk_id}).c AS chunk_id FROM c GROUP BY ALL)
+SELECT ticker, section, y.a AS early, y.b AS late, p.chunk_id AS chunk_id_a, q.chunk_id AS chunk_id_b FROM y JOIN p USING (ticker, section) JOIN q USING (ticker, section) WHERE p.year = y.a AND q.year = y.b""".replace("JOIN q USING", "JOIN p q USING"),
+        "cross_entity_pairs": """WITH p AS (SELECT section, ticker, min({'h': md5(chunk_id), 'c': chunk_id}).c AS chunk_id FROM chunks WHERE length(text) > 300 AND ticker <> '' AND section IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT p.*, CAST(round AS INTEGER) AS round, row_number() OVER (PARTITION BY section, round ORDER BY md5(concat_ws('|', ticker, section, CAST(round AS VARCHAR)))) - 1 AS i FROM p, range(3) t(round))
+SELECT a.section, a.round, a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM r a JOIN r b ON a.section = b.section AND a.round = b.round AND a.i % 2 = 0 AND b.i = a.i + 1""",
         "quarter_stratified_sample": """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY date_received DESC NULLS LAST, coalesce(company_response, '') DESC) AS rn FROM complaints) WHERE rn = 1 AND product IS NOT NULL AND date_received IS NOT NULL),
 q AS (SELECT *, date_trunc('quarter', date_received AT TIME ZONE 'UTC') AS quarter FROM l), nq AS (SELECT datediff('quarter', min(quarter), max(quarter)) + 1 AS n FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY product, quarter ORDER BY date_received DESC, complaint_id) AS k FROM q)

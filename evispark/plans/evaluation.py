@@ -46,7 +46,7 @@ def split_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def implied_filters(spark: SparkSession, d: str) -> DataFrame:
-    f = routing.implied_filters(F.concat_ws(" ", F.col("question"), F.lit("See its 2024 10-K.")), ALIASES)
+    f = routing.implied_filters(F.col("question"), ALIASES)
     x = _drafts(spark, d).select("id", f.alias("f"))
     return x.select("id", F.col("f.ticker").alias("ticker"), F.col("f.form").alias("form"), F.array_join("f.years", ",").alias("years"))
 
@@ -312,7 +312,12 @@ def oracle_sql() -> dict[str, str]:
         "route_heuristic": f"WITH {_DRAFTS} SELECT id, CASE WHEN {sure} AND {fs} > 0 AND {cs} = 0 THEN 'filings' WHEN {sure} AND {fs} = 0 THEN 'complaints' ELSE 'filings+complaints' END AS collections, CASE WHEN {sure} THEN 'heuristic' ELSE 'fan_out' END AS method FROM dr",
         "issuer_detect": f"WITH {_DRAFTS} SELECT id, array_to_string({issuers}, ',') AS issuers FROM dr",
         "split_gate": f"WITH {_DRAFTS} SELECT id, {_COMP} AS comparative, CAST({periods} AS INTEGER) AS periods, len({issuers}) >= 2 OR {_COMP} OR {periods} >= 2 AS split FROM dr",
-        "implied_filters": f"WITH {_DRAFTS} SELECT id, CASE WHEN len({issuers}) = 1 THEN {issuers}[1] END AS ticker, '10-K' AS form, '2024,2025' AS years FROM dr",
+        "implied_filters": rf"""WITH {_DRAFTS}, e AS (SELECT *, '(?i)(\b(?:19|20)\d{{2}})\s+(10-?K|10-?Q|8-?K)|(10-?K|10-?Q|8-?K)[^.]{{0,40}}?\b((?:19|20)\d{{2}})' AS p FROM dr),
+g AS (SELECT id, question, regexp_extract_all(question, p, 1) AS a, regexp_extract_all(question, p, 2) AS b, regexp_extract_all(question, p, 3) AS c, regexp_extract_all(question, p, 4) AS d, {issuers} AS who,
+  list_distinct(list_transform(regexp_extract_all(question, '(?i)\b(?:10-?K|10-?Q|8-?K)\b'), lambda x: regexp_replace(replace(upper(x), '-', ''), '^(\d+)', '\1-'))) AS forms FROM e),
+n AS (SELECT *, list_distinct(list_transform(range(1, len(a) + 1), lambda i: coalesce(nullif(a[i], ''), d[i]) || ' ' || regexp_replace(replace(upper(coalesce(nullif(b[i], ''), c[i])), '-', ''), '^(\d+)', '\1-'))) AS named FROM g)
+SELECT id, CASE WHEN len(who) = 1 THEN who[1] END AS ticker, CASE WHEN len(named) = 1 THEN substring(named[1], 6) WHEN len(forms) = 1 THEN forms[1] END AS form,
+CASE WHEN len(named) = 1 THEN left(named[1], 4) || ',' || CAST(CAST(left(named[1], 4) AS INTEGER) + 1 AS VARCHAR) ELSE NULL END AS years FROM n""",
         "filter_union": f"WITH {_ANSWERS} SELECT id AS query_id, 'config' AS field, array_to_string(list_sort(list(DISTINCT config)), ',') AS \"values\" FROM an WHERE id IS NOT NULL GROUP BY id",
         "metadata_filter": "SELECT DISTINCT chunk_id FROM (SELECT DISTINCT chunk_id, source, ticker, form, date FROM chunks) WHERE source IN ('edgar', 'fomc') AND ticker IS NULL AND (starts_with(date, '2022') OR starts_with(date, '2023'))",
         "overlap_fraction": f"WITH {_MATCH} SELECT id, span_no, chunk_id, round(max(overlap), 6) AS overlap, bool_or(contradiction) AS contradiction, bool_or(overlap > 0 AND NOT contradiction) AS hit FROM mt GROUP BY ALL",
@@ -330,7 +335,7 @@ CAST(len(list_filter(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || c
         "route_accuracy": f"WITH {_RECORDS}, x AS (SELECT config, {_ROUTE_OK} AS ok FROM rc) SELECT config, round(avg(CAST(ok AS INTEGER)), 6) AS accuracy, count(ok) AS labelled FROM x GROUP BY config",
         "latency_percentiles": f"""WITH {_ANSWERS}, g AS (SELECT config, list_sort(list(retrieval_ms)) AS v, count(*) AS n FROM an WHERE retrieval_ms IS NOT NULL GROUP BY config), j AS (SELECT *, least(greatest(95 * (n + 1) // 100, 1), greatest(n - 1, 1)) AS j FROM g)
 SELECT config, n, round(list_aggregate(v, 'median'), 6) AS p50, round(CASE WHEN n = 1 THEN v[1] ELSE (v[j] * (100 - (95 * (n + 1) - 100 * j)) + v[j + 1] * (95 * (n + 1) - 100 * j)) / 100 END, 6) AS p95 FROM j""",
-        "nearest_rank_p95": "SELECT route_reason, v[least(len(v), CAST(floor(CAST(0.95 AS DOUBLE) * len(v)) AS BIGINT) + 1)] AS p95 FROM (SELECT route_reason, list_sort(list(DISTINCT generation_ms)) AS v FROM answers WHERE route_reason IS NOT NULL GROUP BY 1)",
+        "nearest_rank_p95": """SELECT route_reason, v[least(len(v), CAST(floor(CAST(0.95 AS DOUBLE) * len(v)) AS BIGINT) + 1)] AS p95 FROM (SELECT route_reason, list_sort(list(generation_ms) FILTER (WHERE generation_ms IS NOT NULL)) AS v FROM answers WHERE route_reason IS NOT NULL GROUP BY 1)""",
         "latest_run_per_prefix": f"WITH {_ANSWERS} SELECT split_part(config, '_', 1) AS prefix, arg_max(trace_id, {{'a': logged_at, 'b': trace_id}}) AS latest FROM an WHERE config IS NOT NULL GROUP BY 1",
         "widest_run_wins": f"WITH {_ANSWERS}, r AS (SELECT config, strftime(asked_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM an GROUP BY ALL) SELECT config, n AS n_questions, day FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY n DESC, day DESC NULLS LAST) AS rn FROM r) WHERE rn = 1",
         "gate_enforce": f"""WITH {_RECORDS}, {_metric_sql('mm', 'semantic_hybrid_rerank')}, v AS (SELECT metric, value FROM mm)
@@ -352,9 +357,13 @@ UNION ALL SELECT 'span not found', id FROM sp WHERE EXISTS (SELECT 1 FROM chunks
         "verbatim_check": f"WITH {_SPANS}, c AS (SELECT DISTINCT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS p FROM chunks WHERE text IS NOT NULL), s AS (SELECT id, span_no, doc_id, regexp_extract_all(lower(snippet), '[a-z0-9]+') AS w FROM sp) SELECT id, span_no, bool_or(len(w) >= 10 AND contains(p, ' ' || array_to_string(w, ' ') || ' ')) AS verbatim FROM s JOIN c USING (doc_id) GROUP BY ALL",
         "bootstrap_paired": f"""WITH {_RANKS}, pq AS (SELECT id, max(recall) FILTER (WHERE retriever = 'bm25') AS a, max(recall) FILTER (WHERE retriever = 'dense') AS b FROM re WHERE retriever IN ('bm25', 'dense') GROUP BY id HAVING count(*) = 2),
 ob AS (SELECT row_number() OVER (ORDER BY id) - 1 AS place, b - a AS delta, count(*) OVER () AS n FROM pq),
-dr AS (SELECT r AS round, CAST(('0x' || left(md5(r || '|' || i), 8)) AS BIGINT) % n AS place FROM range(200) t(r), (SELECT DISTINCT n FROM ob) z, LATERAL (SELECT unnest(range(n)) AS i)),
-me AS (SELECT round, avg(delta) AS delta FROM dr JOIN ob USING (place) GROUP BY round), v AS (SELECT list_sort(list(delta)) AS v FROM me)
-SELECT round((SELECT avg(delta) FROM ob), 6) AS delta, round(v[6], 6) AS low, round(v[196], 6) AS high, (SELECT count(*) FROM ob) AS n, round(v[6], 6) > 0 OR round(v[196], 6) < 0 AS resolved FROM v""",
+dr AS (SELECT r AS round, CAST(('0x' || left(md5(r || '|' || i), 8)) AS BIGINT) % n AS place FROM range({ROUNDS}) t(r), (SELECT DISTINCT n FROM ob) z, LATERAL (SELECT unnest(range(n)) AS i)),
+me AS (SELECT round, avg(delta) AS delta FROM dr JOIN ob USING (place) GROUP BY round), v AS (SELECT list_sort(list(delta)) AS v, avg(CAST(delta > 0 AS INTEGER)) AS p FROM me)
+SELECT round((SELECT avg(delta) FROM ob), 6) AS delta, round(v[{int(0.025 * ROUNDS) + 1}], 6) AS low, round(v[{int(0.975 * ROUNDS) + 1}], 6) AS high, round(p, 6) AS p_better, (SELECT count(*) FROM ob) AS n, round(v[{int(0.025 * ROUNDS) + 1}], 6) > 0 OR round(v[{int(0.975 * ROUNDS) + 1}], 6) < 0 AS resolved FROM v""",
+        "recall_macro_interval": f"""WITH {_RANKS}, ob AS (SELECT retriever, row_number() OVER (PARTITION BY retriever ORDER BY id) - 1 AS place, recall, count(*) OVER (PARTITION BY retriever) AS n FROM re),
+dr AS (SELECT retriever, r AS round, CAST(('0x' || left(md5(r || '|' || i), 8)) AS BIGINT) % n AS place FROM range({ROUNDS}) t(r), (SELECT DISTINCT retriever, n FROM ob) z, LATERAL (SELECT unnest(range(n)) AS i)),
+me AS (SELECT retriever, round, avg(recall) AS m FROM dr JOIN ob USING (retriever, place) GROUP BY ALL), v AS (SELECT retriever, list_sort(list(m)) AS v FROM me GROUP BY 1)
+SELECT retriever, round(macro, 6) AS macro, round(v[{int(0.025 * ROUNDS) + 1}], 6) AS low, round(v[{int(0.975 * ROUNDS) + 1}], 6) AS high FROM v JOIN (SELECT retriever, avg(recall) AS macro FROM ob GROUP BY 1) USING (retriever)""",
         "disparity_screen": f"WITH {_SCREEN} SELECT company, product, n, round(rate, 6) AS rate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(baseline_rate, 6) AS baseline_rate, baseline_n, round(difference, 6) AS difference, round(z, 6) AS z, round(p_value, 6) AS p_value FROM sc",
         "disparity_bh": f"WITH {_SCREEN} SELECT company, product, round(q_value, 6) AS q_value, q_value <= 0.05 AS flagged FROM bh",
         "disparity_report": f"WITH {_SCREEN} SELECT count(*) AS cells, count(*) FILTER (WHERE p_value < 0.05) AS raw, count(*) FILTER (WHERE q_value <= 0.05) AS flagged, round(count(*) FILTER (WHERE q_value <= 0.05) / count(*), 6) AS share, round(median(abs(difference)) FILTER (WHERE q_value <= 0.05), 6) AS median_flagged, round(median(abs(difference)) FILTER (WHERE q_value > 0.05), 6) AS median_quiet, count(*) FILTER (WHERE q_value <= 0.05) / count(*) > 0.25 AS too_many FROM bh",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evispark.functions import text as T
 from evispark.operators import dense, fusion, lexical
 from evispark.plans.tables import table
+from evispark.session import checkpointed
 
 K = 20
 #: More places than any pool has.
@@ -62,8 +63,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return _rounded(lexical.term_stats(lexical.postings(docs, "doc_id", "text"), lexical.corpus_size(docs, "text")), "idf")
+    return _rounded(lexical.term_stats(checkpointed(lexical.vocabulary(table(spark, d, "documents"), "doc_id", "text"))), "idf")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +113,17 @@ def per_pool_quota(spark: SparkSession, d: str) -> DataFrame:
     return fusion.pool_quota(_lists(spark, d), 8)
 
 
+def multi_list_fuse(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "hits").where("query_id is not null and retriever is not null and chunk_id is not null").groupBy("query_id", "retriever", "chunk_id").agg(F.max("score").alias("score"))
+    # two lists for the questions with an even number, one for the others
+    lists = _lists(spark, d).join(scored, ["query_id", "retriever", "chunk_id"]).where("pos <= 10 and (retriever = 'bm25' or retriever = 'dense' and cast(substring(query_id, 3) as int) % 2 = 0)")
+    return _rounded(fusion.fuse_lists(lists, 10), "score")
+
+
+def cross_query_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(fusion.fuse_pools(_lists(spark, d), 3), "score")
+
+
 def backend_agreement(spark: SparkSession, d: str) -> DataFrame:
     lists = _lists(spark, d)
     return _rounded(fusion.agreement(lists.where("retriever = 'bm25'"), lists.where("retriever = 'dense'"), 5), "same_place", "same_set")
@@ -139,13 +150,15 @@ _WINDOWED = f"""
 {_LISTS},
 qs AS (SELECT id AS query_id, list_distinct(regexp_extract_all(lower(max(question)), '[a-z0-9]+')) AS q FROM drafts_multihop WHERE question IS NOT NULL GROUP BY id),
 ch AS (SELECT chunk_id, regexp_extract_all(lower(max(text)), '[a-z0-9]+') AS p FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
-pr AS (SELECT query_id, chunk_id, pos, q, p FROM ls JOIN qs USING (query_id) JOIN ch USING (chunk_id) WHERE retriever = 'rerank'),
+fu AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_r, first_p, chunk_id) AS pos FROM (
+SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + pos)) AS score, min(retriever) AS first_r, arg_min(pos, retriever) AS first_p FROM ls GROUP BY query_id, chunk_id)),
+pr AS (SELECT query_id, chunk_id, pos, q, p FROM fu JOIN qs USING (query_id) JOIN ch USING (chunk_id)),
 ws AS (SELECT query_id, chunk_id, pos, len(list_intersect(q, p[i * 30 + 1:i * 30 + 60])) / len(q) AS s FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((len(p) - 60) / 30) AS INTEGER), 0) + 1)) AS i FROM pr)),
 sp AS (SELECT query_id, chunk_id, pos, round(max(s), 6) AS score FROM ws GROUP BY ALL)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, overfetch_shortfall, filter_backoff_topk, rrf_hybrid, rrf_k_sweep, interleave_pools, per_pool_quota, backend_agreement, windowed_max_score, rerank_topk)
+    fs = (bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, overfetch_shortfall, filter_backoff_topk, rrf_hybrid, rrf_k_sweep, interleave_pools, per_pool_quota, multi_list_fuse, cross_query_fusion, backend_agreement, windowed_max_score, rerank_topk)
     return {f.__name__: f for f in fs}
 
 
@@ -169,6 +182,14 @@ SELECT query_id, vec_id, rank, tier FROM (SELECT query_id, vec_id, tier, CAST(ro
         "rrf_k_sweep": f"WITH {_LISTS} {sweep}",
         "interleave_pools": f"WITH {_LISTS}, {_turns_sql(8)} SELECT * FROM il",
         "per_pool_quota": f"WITH {_LISTS}, {_turns_sql(8)} SELECT query_id, retriever, count(*) AS chunks FROM il GROUP BY ALL",
+        "multi_list_fuse": f"""WITH {_LISTS}, s AS (SELECT query_id, retriever, chunk_id, list_max(list(score)) AS score FROM hits WHERE query_id IS NOT NULL AND retriever IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+l AS (SELECT ls.*, score AS raw FROM ls JOIN s USING (query_id, retriever, chunk_id) WHERE pos <= 10 AND (retriever = 'bm25' OR retriever = 'dense' AND CAST(substring(query_id, 3) AS INTEGER) % 2 = 0)),
+n AS (SELECT query_id, count(DISTINCT retriever) AS n FROM l GROUP BY 1),
+f AS (SELECT query_id, chunk_id, n, sum(CAST(1 AS DOUBLE) / (60 + pos)) AS s, max(raw) AS raw, min(retriever) AS first_r, arg_min(pos, retriever) AS first_p FROM l JOIN n USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, round(CASE WHEN n = 1 THEN raw ELSE s END, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, first_r, first_p, chunk_id) AS rank FROM f) WHERE rank <= 10""",
+        "cross_query_fusion": f"""WITH {_LISTS}, n AS (SELECT query_id, count(DISTINCT retriever) AS n FROM ls GROUP BY 1)
+SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_r, first_p, chunk_id) AS rank FROM (
+SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + pos)) AS score, min(retriever) AS first_r, arg_min(pos, retriever) AS first_p FROM ls GROUP BY query_id, chunk_id)) JOIN n USING (query_id) WHERE rank <= 3 * n""",
         "backend_agreement": f"""WITH {_LISTS},
 a AS (SELECT query_id, list(chunk_id ORDER BY pos) AS a FROM ls WHERE retriever = 'bm25' AND pos <= 5 GROUP BY 1), b AS (SELECT query_id, list(chunk_id ORDER BY pos) AS b FROM ls WHERE retriever = 'dense' AND pos <= 5 GROUP BY 1),
 j AS (SELECT query_id, least(len(a), len(b)) AS n, a, b FROM a JOIN b USING (query_id))

@@ -171,6 +171,42 @@ def test_implied_filters(spark):
     f = _ask(spark, "JPM and C in the 10-Q filed in 2023 and the 2024 10-K", routing.implied_filters)
     assert (f["ticker"], f["form"], f["years"]) == (None, None, None)
     assert _ask(spark, "the 10-Q filed in 2025", routing.named_filings) == ["2025 10-Q"]
+    assert _ask(spark, "Compare the 10-K from 2023 10-Q", routing.named_filings) == ["2023 10-K"]  # from left to right
+    assert _ask(spark, "its 2024 10k and the 8-K of 2022", routing.named_filings) == ["2022 8-K", "2024 10-K"]
+
+
+def test_a_single_list_keeps_its_scores_and_pools_widen(spark):
+    rows = [("one", "a", "x", 1, 7.5), ("one", "a", "y", 2, 3.0), ("two", "a", "x", 1, 7.5), ("two", "b", "y", 1, 0.1)]
+    lists = spark.createDataFrame(rows, "query_id string, retriever string, chunk_id string, pos int, score double")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in fusion.fuse_lists(lists, 5).collect()}
+    assert got[("one", "x")] == 7.5 and got[("two", "x")] == pytest.approx(1 / 61)
+    assert {r["query_id"]: r["count"] for r in fusion.fuse_pools(lists, 1).groupBy("query_id").count().collect()} == {"one": 1, "two": 2}
+    assert fusion.fuse_pools(lists, 1, "interleave").where("query_id = 'two'").count() == 2
+    with pytest.raises(ValueError, match="unknown fusion"):
+        fusion.fuse_pools(lists, 1, "none")
+
+
+def test_search_by_named_retriever(spark):
+    chunks = spark.createDataFrame([("c1", "card fees rose"), ("c2", "deposits fell"), ("c3", "the weather")], "chunk_id string, text string")
+    q = spark.createDataFrame([("q", "card fees")], "id string, question string")
+    v = spark.createDataFrame([(1, "c1", [1.0, 0.0]), (2, "c2", [0.9, 0.1]), (3, "c3", [0.0, 1.0])], "vec_id long, chunk_id string, embedding array<double>")
+    qv = spark.createDataFrame([(5, "q", [0.0, 1.0])], "query_id long, id string, embedding array<double>")
+    best = lambda how: [r["chunk_id"] for r in retrieve.search(q, chunks, how, 2, v, qv).orderBy("rank").collect()]
+    assert best("bm25") == ["c1"] and best("dense") == ["c3", "c2"] and set(best("hybrid")) == {"c1", "c3"}
+    with pytest.raises(ValueError, match="unknown retriever"):
+        retrieve.search(q, chunks, "none", 2)
+    with pytest.raises(ValueError, match="vectors"):
+        retrieve.search(q, chunks, "hybrid", 2)
+
+
+def test_samples_for_drafting(spark):
+    c = spark.createDataFrame([(f"c{i}", "a" if i % 4 else "b") for i in range(40)], "chunk_id string, source string")
+    got = normalise.proportional_sample(c, "source", "chunk_id", 10, c.where("chunk_id = 'c3'").select("chunk_id")).collect()
+    assert sum(r["source"] == "a" for r in got) == 8 and sum(r["source"] == "b" for r in got) == 2 and "c3" in {r["chunk_id"] for r in got}
+    rows = [("x1", "A", "s", "2020-01-01"), ("x2", "A", "s", "2023-01-01"), ("y1", "B", "s", "2020-01-01"), ("z", "", "s", "2020-01-01"), ("n", "C", None, None)]
+    t = spark.createDataFrame([(*r, "w" * 50) for r in rows], "chunk_id string, ticker string, section string, date string, text string")
+    assert [(r["chunk_id_a"], r["chunk_id_b"]) for r in normalise.temporal_pairs(t, 20).collect()] == [("x1", "x2")]
+    assert normalise.cross_entity_pairs(t, 20, 2).count() == 2 and normalise.cross_entity_pairs(t.limit(0), 20).count() == 0
 
 
 def test_sub_questions_fail_open(spark):
