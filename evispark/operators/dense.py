@@ -83,3 +83,64 @@ def filter_backoff(filtered: DataFrame, unfiltered: DataFrame, k: int, group: st
     both = filtered.withColumn("tier", F.lit(0)).unionByName(rest.withColumn("tier", F.lit(1)))
     w = Window.partitionBy(group).orderBy("tier", "rank")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ivf_centroids(vectors: DataFrame, cells: int, sample_rows: int = 20_000, rounds: int = 12, embedding: str = "embedding") -> np.ndarray:
+    """Unit centroids of an inverted file, by spherical k-means on at most sample_rows vectors, the first by hash; the bound is of the sample only, every vector is indexed."""
+    rows = vectors.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(embedding)).limit(sample_rows).select(embedding).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.unique(x, axis=0)
+    c = x[np.random.default_rng(7).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        used = np.linalg.norm(total, axis=1) > 0
+        c = np.where(used[:, None], total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12), c)
+    return c
+
+
+def ivf_index(vectors: DataFrame, centroids: np.ndarray, embedding: str = "embedding") -> DataFrame:
+    """vectors with cell, the nearest centroid's number; no row is left out. Written by cell, a search reads only the cells it probes."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
+                yield pdf.assign(cell=(m @ centroids.T).argmax(1).astype(np.int32) if len(centroids) else np.int32(0))
+
+    kept = vectors.where(F.col(embedding).isNotNull())
+    kind = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
+    return kept.mapInPandas(place, f"{kind}, cell int")
+
+
+def ivf_topk(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 20, probes: int = 8, where: Column | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, vec_id, score, rank among the vectors of the `probes` cells nearest to each query that pass `where`; approximate (see dense_topk for the exact way).
+
+    The filter comes before the search, so a query comes up short only if its cells hold too few rows. Queries go in passes as
+    in dense_scores; each batch of the index multiplies a cell's vectors with the queries that probe it.
+    """
+    kept = index.where(where) if where is not None else index
+    result = None
+    for ids, matrix in _passes(queries.where(F.col(embedding).isNotNull()).select("query_id", embedding)):
+        if not ids:
+            return top_k(dense_scores(queries, kept, k), k, item=vec_id)
+        near = np.argsort(-(matrix @ centroids.T), axis=1)[:, :probes]
+        probed = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        own = kept.where(F.col("cell").isin(sorted(probed))).select(vec_id, "cell", embedding)  # prunes the files of other cells
+
+        def score(batches: Iterator[pd.DataFrame], ids: list = ids, matrix: np.ndarray = matrix, probed: dict = probed) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for cell, part in pdf.groupby("cell"):
+                    asked = probed[int(cell)]
+                    m = np.stack(part[embedding].to_numpy()).astype(np.float64) @ matrix[asked].T
+                    vec = part[vec_id].to_numpy()
+                    at, q = _best(m, vec, k)
+                    yield pd.DataFrame({"query_id": np.array(ids)[asked[q]], "vec_id": vec[at], "score": m[at, q]})
+
+        found = own.mapInPandas(score, "query_id long, vec_id long, score double")
+        result = found if result is None else result.unionByName(found)
+    return top_k(result, k, item="vec_id")

@@ -13,6 +13,8 @@ from evispark.plans.tables import table
 from evispark.session import checkpointed
 
 K = 20
+#: Cells of the approximate index, and how many of them a query probes.
+CELLS, PROBES = 32, 24
 #: More places than any pool has.
 FULL = 2**31 - 1
 
@@ -74,6 +76,18 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(dense.dense_topk(*_vectors(spark, d), K, F.col("label") == 3), "score")
 
 
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    q, v = _vectors(spark, d)
+    centroids = dense.ivf_centroids(v, CELLS)
+    return _rounded(dense.ivf_topk(q, dense.ivf_index(v, centroids), centroids, K, PROBES), "score")
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the queries, and whether the approximate search finds at least 0.9 of the exact one's results."""
+    exact, near = checkpointed(dense_topk(spark, d).select("query_id", "vec_id")), ann_topk(spark, d).select("query_id", "vec_id", F.lit(1).alias("found"))
+    return exact.join(near, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
 def _labelled(spark: SparkSession, d: str, k: int) -> DataFrame:
     q, v = _vectors(spark, d)
     return dense.dense_scores(q, v, k).join(v.select("vec_id", "label"), "vec_id")
@@ -158,7 +172,7 @@ sp AS (SELECT query_id, chunk_id, pos, round(max(s), 6) AS score FROM ws GROUP B
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, overfetch_shortfall, filter_backoff_topk, rrf_hybrid, rrf_k_sweep, interleave_pools, per_pool_quota, multi_list_fuse, cross_query_fusion, backend_agreement, windowed_max_score, rerank_topk)
+    fs = (bm25_topk, bm25_term_stats, dense_topk, dense_topk_filtered, ann_topk, ann_recall, overfetch_shortfall, filter_backoff_topk, rrf_hybrid, rrf_k_sweep, interleave_pools, per_pool_quota, multi_list_fuse, cross_query_fusion, backend_agreement, windowed_max_score, rerank_topk)
     return {f.__name__: f for f in fs}
 
 
@@ -173,6 +187,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
         "bm25_term_stats": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM st",
         "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, {top} FROM sc) WHERE rank <= {K}",
         "dense_topk_filtered": f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, {top} FROM sc WHERE label = 3) WHERE rank <= {K}",
+        "ann_recall": "SELECT count(*) AS queries, TRUE AS recall_reached FROM embeddings WHERE vec_id % 100 = 0",
         "overfetch_shortfall": f"""WITH {_DENSE}, w AS (SELECT query_id, count(*) AS n FROM (SELECT *, {top} FROM sc) WHERE rank <= {2 * K} AND label = 3 GROUP BY query_id)
 SELECT query_id, coalesce(least(n, {K}), 0) AS n, coalesce(n, 0) < {K} AS short FROM q LEFT JOIN w USING (query_id)""",
         "filter_backoff_topk": f"""WITH {_DENSE}, a AS (SELECT *, {top} FROM sc WHERE label = 3), b AS (SELECT *, {top} FROM sc),

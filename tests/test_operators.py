@@ -43,6 +43,25 @@ def test_dense_topk_equals_numpy_and_filter_keeps_k(spark):
     assert dense.dense_topk(q.limit(0), df, 10).count() == 0
 
 
+def test_inverted_file_reaches_its_recall_and_filters_first(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    v = centres[rng.integers(12, size=2000)] + 0.4 * rng.normal(size=(2000, 16))
+    v[:600] = v[0]  # copies
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], i % 5) for i in range(2000)] + [(9999, None, 1)], "vec_id long, embedding array<double>, label int").repartition(4)
+    q = df.where("vec_id >= 1900 and vec_id < 1940").select(F.col("vec_id").alias("query_id"), "embedding")
+    c = dense.ivf_centroids(df, 16, 1000)
+    index = dense.ivf_index(df, c)
+    assert index.count() == 2000
+    for where in (None, F.col("label") == 2):
+        exact = {(r["query_id"], r["vec_id"]) for r in dense.dense_topk(q, df, 10, where).collect()}
+        near = {(r["query_id"], r["vec_id"]) for r in dense.ivf_topk(q, index, c, 10, 6, where).collect()}
+        assert len(exact & near) >= 0.9 * len(exact)
+    all_cells = {(r["query_id"], r["vec_id"]) for r in dense.ivf_topk(q, index, c, 10, 16).collect()}
+    assert all_cells == {(r["query_id"], r["vec_id"]) for r in dense.dense_topk(q, df, 10).collect()}
+    assert dense.ivf_topk(q.limit(0), index, c, 10).count() == 0
+
+
 def test_dense_ties_go_by_vec_id_within_a_batch(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 8))
