@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.plans import answers, corpus, evaluation, retrieval
+from evispark.plans import answers, corpus, evaluation, retrieval, stored
 
-_MODULES = (retrieval, corpus, evaluation, answers)
+_MODULES = (retrieval, corpus, evaluation, answers, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
