@@ -10,6 +10,7 @@ anchors are extended into runs, and the runs compared to the letter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -229,22 +230,46 @@ def _candidate_pairs(left: DataFrame, right: DataFrame, min_words: int) -> DataF
     return _spread(both, parts).groupBy("part").applyInPandas(meet, "uid_l long, uid_r long").distinct()
 
 
-def _partners(ha: np.ndarray, hb: np.ndarray) -> np.ndarray:
-    """For each window of a the first window of b with the same hash, or -1."""
-    order = np.argsort(hb, kind="stable")
-    at = np.minimum(np.searchsorted(hb, ha, sorter=order), len(hb) - 1)
-    return np.where(hb[order[at]] == ha, order[at], -1)
+class _Text(NamedTuple):
+    """A text's anchors (first word and hash), its windows of min_words (hashes), and the order of the latter's hashes."""
 
+    at: np.ndarray
+    anchors: np.ndarray
+    windows: np.ndarray
+    order: np.ndarray
+    n_words: int
 
-def _chained(ha: np.ndarray, hb: np.ndarray, skip: np.ndarray) -> list[tuple[int, int, int]]:
+
+def _texts(w: Words, min_words: int) -> list[_Text]:
+    """Of a batch's texts."""
+    period, cover, width = cover_of(min_words)
+    end = np.cumsum(w.counts)
+    first = end - w.counts
+    at, h = windows(w, width)
+    local = at - first[w.doc[at]]
+    take = np.isin(local % period, cover)
+    at, h, local = at[take], h[take], local[take]
+    full_at, full = windows(w, min_words)
+    cut, full_cut = np.searchsorted(at, np.append(first, end[-1:])), np.searchsorted(full_at, np.append(first, end[-1:]))
+    out = []
+    for k, n in enumerate(w.counts.tolist()):
+        own = full[full_cut[k] : full_cut[k + 1]]
+        out.append(_Text(local[cut[k] : cut[k + 1]], h[cut[k] : cut[k + 1]], own, np.argsort(own, kind="stable"), n))
+    return out
+
+
+def _chained(a: _Text, b: _Text, skip: np.ndarray) -> list[tuple[int, int, int]]:
     """Start in a, start in b and number of windows of runs that hold each window of a that b has too, but those to skip; a run goes on as long as it can."""
-    first = _partners(ha, hb)
+    ha, hb = a.windows, b.windows
+    todo = np.flatnonzero(~skip)
+    # of each window of a the first window of b with the same hash
+    first = b.order[np.minimum(np.searchsorted(hb, ha[todo], sorter=b.order), len(hb) - 1)]
+    met = hb[first] == ha[todo]
     runs: list[tuple[int, int, int]] = []
-    end = j = -1
-    for i in np.flatnonzero((first >= 0) & ~skip).tolist():
+    end = -1
+    for i, j in zip(todo[met].tolist(), first[met].tolist(), strict=True):
         if i < end:
             continue
-        j = int(first[i])
         most = min(len(ha) - i, len(hb) - j)
         # compare in growing stretches, so that a short run costs little
         n, step = 1, 64
@@ -260,43 +285,42 @@ def _chained(ha: np.ndarray, hb: np.ndarray, skip: np.ndarray) -> list[tuple[int
     return runs
 
 
-def _anchored(at: np.ndarray, h: np.ndarray, other: np.ndarray, n: int, reach: int) -> np.ndarray:
-    """Windows (by their first word) that hold an anchor the other text has too; at, h: the text's anchors, n: its windows, reach: places an anchor may take in a window."""
-    hit = at[np.isin(h, other)]
+def _anchored(a: _Text, b: _Text, reach: int) -> np.ndarray:
+    """Windows of a that hold an anchor b has too; reach: places an anchor may take in a window."""
+    n = len(a.windows)
+    hit = a.at[np.isin(a.anchors, b.anchors)]
     edge = np.zeros(n + reach + 1, np.int64)
     np.add.at(edge, np.maximum(hit - reach, 0), 1)
     np.add.at(edge, hit + 1, -1)
     return np.cumsum(edge)[:n] > 0
 
 
-def common_runs(a: Words, b: Words, min_words: int) -> list[tuple[int, int, int]]:
-    """Start in a, start in b and length of common runs of at least min_words words of two texts, enough to hold each word that stands in any; time and number grow with the texts' lengths.
-
-    Only windows of min_words around shared anchors are extended, each with its first partner in the other text, as far as it goes.
-    """
-    period, cover, width = cover_of(min_words)
-    na, nb = len(a.hash) - min_words + 1, len(b.hash) - min_words + 1
-    if na < 1 or nb < 1:
+def _common(a: _Text, b: _Text, min_words: int) -> list[tuple[int, int, int]]:
+    na, nb = len(a.windows), len(b.windows)
+    if not na or not nb:
         return []
-    (at_a, ha), (at_b, hb) = ((at[np.isin(at % period, cover)], h[np.isin(at % period, cover)]) for at, h in (windows(x, width) for x in (a, b)))
-    open_a, open_b = _anchored(at_a, ha, hb, na, min_words - width), _anchored(at_b, hb, ha, nb, min_words - width)
+    reach = min_words - cover_of(min_words)[2]
+    open_a = _anchored(a, b, reach)
     if not open_a.any():
         return []
-    (_, wa), (_, wb) = windows(a, min_words), windows(b, min_words)
-    runs = _chained(wa, wb, ~open_a)
+    runs = _chained(a, b, ~open_a)
     # what stands more than once in b: the places that no run has reached yet
     edge = np.zeros(nb + 1, np.int64)
     for _, j, n in runs:
         edge[j] += 1
         edge[j + n] -= 1
-    runs += [(i, j, n) for j, i, n in _chained(wb, wa, (np.cumsum(edge)[:nb] > 0) | ~open_b)]
+    left = _anchored(b, a, reach) & (np.cumsum(edge)[:nb] == 0)
+    if left.any():
+        runs += [(i, j, n) for j, i, n in _chained(b, a, ~left)]
     return [(i, j, n + min_words - 1) for i, j, n in runs]
 
 
-def _literal(a: str, b: str, runs: list[tuple[int, int, int]]) -> bool:
-    """The runs are equal to the letter."""
-    wa, wb = a.split(), b.split()
-    return all(wa[i : i + n] == wb[j : j + n] for i, j, n in runs)
+def common_runs(a: str, b: str, min_words: int) -> list[tuple[int, int, int]]:
+    """Start in a, start in b and length of common runs of at least min_words words of two texts, enough to hold each word that stands in any; time and number grow with the texts' lengths.
+
+    Only windows of min_words around shared anchors are extended, each with its first partner in the other text, as far as it goes.
+    """
+    return _common(*_texts(words([a, b], alnum=False), min_words), min_words)
 
 
 def shared_runs(left: DataFrame, right: DataFrame, min_words: int = 30) -> DataFrame:
@@ -320,17 +344,17 @@ def shared_runs(left: DataFrame, right: DataFrame, min_words: int = 30) -> DataF
         for rows in by_size(each, 3):
             out: dict[str, list] = {k: [] for k in kind.names}
             known = list(dict.fromkeys(t for r in rows for t in r[2:]))
-            w = words(known, alnum=False)
-            end = np.cumsum(w.counts)
-            # a text's own part of the batch's words
-            own = {t: Words(np.zeros(n, np.int64), w.hash[e - n : e], np.array([n])) for t, e, n in zip(known, end.tolist(), w.counts.tolist(), strict=True)}
+            own = dict(zip(known, _texts(words(known, alnum=False), min_words), strict=True))
+            split: dict[str, list[str]] = {}
             for x, y, tx, ty in rows:
-                runs = common_runs(own[tx], own[ty], min_words)
-                if runs and not _literal(tx, ty, runs):
+                runs = _common(own[tx], own[ty], min_words)
+                if not runs:
+                    continue
+                wx, wy = (split.get(t) or split.setdefault(t, t.split()) for t in (tx, ty))
+                if not all(wx[i : i + n] == wy[j : j + n] for i, j, n in runs):  # to the letter
                     raise ValueError("two different words have one hash")
-                if runs:
-                    for k, v in zip(out, (x, y, [{"l": i, "r": j, "n": n} for i, j, n in runs], len(own[tx].hash), len(own[ty].hash)), strict=True):
-                        out[k].append(v)
+                for k, v in zip(out, (x, y, [{"l": i, "r": j, "n": n} for i, j, n in runs], own[tx].n_words, own[ty].n_words), strict=True):
+                    out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=kind)
 
     joined = pairs.join(texts(left, "l"), "uid_l").join(texts(right, "r"), "uid_r").select("uid_l", "uid_r", "text_l", "text_r")

@@ -164,7 +164,7 @@ def test_hot_anchors_are_spread(spark, words_of, monkeypatch):
 
 
 def _common(a, b, least):
-    return ss.common_runs(W.words([" ".join(a)], False), W.words([" ".join(b)], False), least)
+    return ss.common_runs(" ".join(a), " ".join(b), least)
 
 
 def test_runs_hold_every_shared_word():
