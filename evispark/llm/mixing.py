@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.llm._words import by_size
+from evispark.operators.once import once_each
 from evispark.operators.ranks import running_sum
 from evispark.session import checkpointed
 
@@ -52,7 +53,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for rows in by_size(each, 2):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([len(encode(r[2])) for r in rows], pa.int64())], ["doc_id", "source", "tokens"])
 
-    rows = docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), "source", "text").distinct()
+    rows = once_each(docs.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), "source", "text"))
     return rows.mapInArrow(count, "doc_id long, source string, tokens long")
 
 
