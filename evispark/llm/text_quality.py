@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -207,33 +208,32 @@ def is_unknown_prose(lines: list[str], words: list[str], function: float) -> boo
     return UNKNOWN_VOWELS[0] <= vowels <= UNKNOWN_VOWELS[1] and lower >= UNKNOWN_LOWER and UNKNOWN_SHORT[0] <= short <= UNKNOWN_SHORT[1] and UNKNOWN_SENTENCE[0] <= len(words) / ends <= UNKNOWN_SENTENCE[1]
 
 
+_IS_SYMBOL = np.array([_SYMBOL.match(chr(i)) is not None for i in range(128)])
+
+
+def _symbols(text: str) -> int:
+    return int(_IS_SYMBOL[np.frombuffer(text.encode("ascii"), np.uint8)].sum()) if text.isascii() else len(_SYMBOL.findall(text))
+
+
 def describe(texts: list[str], classes: _Classes) -> list[dict]:
     """Statistics and kind of each text."""
-    rows, owner, tokens_of, lengths, segs = [], [], [], [], []
-    bare_chars = [0] * len(texts)
-    known = classes.__getitem__
+    owner, tokens_of, segs = [], [], []
     for d, text in enumerate(texts):
         for s in _segments(text):
-            tokens = (_CELL.sub(" ", s) if s.count(",") > s.count(", ") + 1 else s).split()
-            c = [0] * len(CLASSES)
-            bare = 0
-            for v in map(known, tokens):
-                k = v & 15
-                c[k] += 1
-                if k != 4 and k != 6:
-                    bare += v >> 4
-            bare_chars[d] += bare
-            if len(tokens) > 1 and len(tokens[0]) < 8 and _MARK.fullmatch(tokens[0]):
-                c[classes[tokens[0]] & 15] -= 1
-                c[9] += 1
-            rows.append(c)
+            tokens_of.append((_CELL.sub(" ", s) if s.count(",") > s.count(", ") + 1 else s).split())
             owner.append(d)
-            tokens_of.append(tokens)
-            lengths.append(sum(map(len, tokens)))
             segs.append(s)
-    own = np.array(owner, np.int64)
-    counts = np.array(rows, float).reshape(-1, len(CLASSES))
-    length = np.array(lengths, float)
+    own, sizes, every = np.array(owner, np.int64), np.array([len(t) for t in tokens_of], np.int64), list(chain.from_iterable(tokens_of))
+    value = np.fromiter(map(classes.__getitem__, every), np.int64, len(every))
+    k, seg = value & 15, np.repeat(np.arange(len(segs)), sizes)
+    length = np.bincount(seg, weights=np.fromiter(map(len, every), np.int64, len(every)), minlength=len(segs))
+    bare_chars = np.bincount(own[seg], weights=np.where((k != 4) & (k != 6), value >> 4, 0), minlength=len(texts))
+    counts = np.bincount(seg * len(CLASSES) + k, minlength=len(segs) * len(CLASSES)).astype(float).reshape(-1, len(CLASSES))
+    first = np.cumsum(sizes) - sizes
+    for i, tokens in enumerate(tokens_of):
+        if len(tokens) > 1 and len(tokens[0]) < 8 and _MARK.fullmatch(tokens[0]):
+            counts[i, k[first[i]]] -= 1
+            counts[i, 9] += 1
     kind = np.empty(0, np.int64)
     if len(counts):
         # neighbours within the text lend half their tokens
@@ -249,6 +249,13 @@ def describe(texts: list[str], classes: _Classes) -> list[dict]:
         kind = _PROFILE_KIND[apart.argmin(1)]
     bounds = np.searchsorted(own, np.arange(len(texts) + 1))
     out = []
+    if not texts:
+        return out
+    shapes = np.zeros((len(texts), len(CLASSES)))
+    np.add.at(shapes, own, counts)
+    from_prose = _divergence(shapes / np.maximum(shapes.sum(1, keepdims=True), 1), _PROFILE[_PROFILE_KIND == 0]).min(1)
+    letters = np.array([_letters(t) for t in texts])
+    from_language = np.where(letters.sum(1) >= LETTERS_LEAST, _divergence(letters / np.maximum(letters.sum(1, keepdims=True), 1), _LETTER).min(1), 0.0)
     for d, text in enumerate(texts):
         a, b = bounds[d], bounds[d + 1]
         k, n = kind[a:b].copy(), length[a:b]
@@ -273,12 +280,12 @@ def describe(texts: list[str], classes: _Classes) -> list[dict]:
         solid = words - int(total[4] + total[6])
         out.append({
             "n_words": words,
-            "mean_word_length": bare_chars[d] / solid if solid else None,
-            "symbol_ratio": len(_SYMBOL.findall(text)) / len(text) if text else None,
+            "mean_word_length": float(bare_chars[d]) / solid if solid else None,
+            "symbol_ratio": _symbols(text) / len(text) if text else None,
             "line_punctuation": sum(x.rstrip().endswith(_PUNCTUATION) for x in lines) / len(lines) if lines else None,
             "common_words": float(shape[0]) if words else None,
-            "prose_divergence": float(_divergence(shape[None], _PROFILE[_PROFILE_KIND == 0]).min()) if words else None,
-            "letter_divergence": letter_divergence(text),
+            "prose_divergence": float(from_prose[d]) if words else None,
+            "letter_divergence": float(from_language[d]),
             "kind": KINDS[int(chars.argmax())] if chars.sum() and chars.max() * 2 > chars.sum() else ("mixed" if chars.sum() else "empty"),
         })
     return out
