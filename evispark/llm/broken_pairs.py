@@ -32,7 +32,7 @@ TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SENTINEL = "INSUFFICIENT_CONTEXT:"
 #: Most pairs of the sample the tagger is trained on.
-TRAIN_PAIRS = 1500
+TRAIN_PAIRS = 2500
 #: How often the sample's own declining answers are added to the lexicon and the tagger is trained anew.
 SELF_ROUNDS = 1
 #: Most function words; they are read to the driver.
@@ -185,7 +185,7 @@ def _copied(question: str, parts: list[str]) -> tuple[float, float]:
     return (max(whole, sum(_run(q, w) for w in said)) / total if total else 0.0), whole / max(1, len(q))
 
 
-FEATURES = 27
+FEATURES = 30
 
 
 class Clauses(NamedTuple):
@@ -270,8 +270,11 @@ def measure(questions: Sequence[str | None], parts: Sequence[list[str]], v: Voca
         at = np.minimum(np.searchsorted(v.pairs, key), len(v.pairs) - 1)
         pair_odds[:-1] = np.where((v.pairs[at] == key) & (clause[1:] == clause[:-1]), v.pair_odds[at], 0)
     mean, pairs, strong = _sums(o, start, count) / size, _sums(pair_odds, start, count) / size, _sums((o > 1).astype(float), start, count) / size
-    best = np.zeros(n)
+    best, best_pair = np.zeros(n), np.zeros(n)
     np.maximum.at(best, clause, o)
+    np.maximum.at(best_pair, clause, pair_odds)
+    sure = np.minimum(_sums((o > 2).astype(float), start, count) + _sums((pair_odds > 2).astype(float), start, count), 6) / 6
+    opening = np.where(count > 0, o[np.minimum(start, max(0, len(w) - 1))], 0) if len(w) else np.zeros(n)
     digits = _sums(digit[w], start, count)
     ended = np.array([bool(_END.search(c)) and not c.endswith("..") for c in flat])
     open_end = np.array([c.rstrip().endswith(_OPEN_END) for c in flat])
@@ -283,7 +286,7 @@ def measure(questions: Sequence[str | None], parts: Sequence[list[str]], v: Voca
     x = np.stack([
         np.ones(n), run / size, run / np.maximum(q_count[own], 1), (run / size > 0.75) & (run >= 5), _sums(known, start, count) / size,
         has_lang & (other > mine) & (other >= 1), np.where(has_lang, (other - mine) / np.maximum(_sums(letters[w], start, count), 1), 0), has_lang & (other > 2 * mine + 1),
-        mean, pairs, strong, best / 4, np.maximum(mean + pairs, 0) * (digits == 0),
+        mean, pairs, strong, best / 4, best_pair / 4, sure, opening / 4, np.maximum(mean + pairs, 0) * (digits == 0),
         np.minimum(digits, 3) / 3, digits == 0, count <= 2, count <= 4, count <= 8,
         hanging, hanging & (count > 6), hanging & (tail_function | open_end), tail_odds / 4 * last, ended, last, first, [c.endswith("?") for c in flat], q_count[own] == 0,
     ], 1).astype(float)
@@ -402,6 +405,7 @@ def _training_rows(sound: list[tuple[str, int, list[str]]], declining: list[tupl
     by_lang: dict[int, list[list[str]]] = {}
     for _, own, parts in sound:
         by_lang.setdefault(own, []).append(parts)
+    common = max(by_lang, key=lambda k: len(by_lang[k]), default=-1)
     spoken: dict[str, list[str]] = {}
     for word, langs in lang.by_word.items():
         for k in langs:
@@ -414,7 +418,8 @@ def _training_rows(sound: list[tuple[str, int, list[str]]], declining: list[tupl
     for question, own, parts in sound:
         content = [w for w in " ".join(parts).split() if w.lower() not in lang.by_word] or ["it"]
         own_words = " ".join(rng.choice(content) for _ in range(rng.randrange(1, 4)))
-        put(question, parts, [ANSWER] * len(parts))
+        for _ in range(1 if own == common else 3):  # the rarer languages are few
+            put(question, parts, [ANSWER] * len(parts))
         if len(parts) > 1 and rng.random() < 0.5:  # a sound answer that also names a gap
             k = rng.randrange(len(GAPS))
             put(question, [*parts, GAPS[k].format(own_words)], [ANSWER] * len(parts) + [REFUSAL], k)
@@ -446,9 +451,10 @@ def _training_rows(sound: list[tuple[str, int, list[str]]], declining: list[tupl
             put(question, [decline, *([courtesy] if courtesy else [])], [REFUSAL] * (2 if courtesy else 1), k)
         others = [k for k in by_lang if k not in (own, -1)]
         if others and rng.random() < 0.7:
-            parts = rng.choice(by_lang[rng.choice(sorted(others))])
-            if len(" ".join(parts)) > 30:
-                put(question, parts, [FOREIGN] * len(parts))
+            for _ in range(1 if own == common else 4):
+                parts = rng.choice(by_lang[rng.choice(sorted(others)) if own == common or rng.random() < 0.5 or common not in others else common])
+                if len(" ".join(parts)) > 30:
+                    put(question, parts, [FOREIGN] * len(parts))
         elif own >= 0 and (strange := [k for k in sorted(spoken) if k != lang.names[own]]):
             # the sample needn't hold the other languages: function words among words of the answer
             known = spoken[rng.choice(strange)]
